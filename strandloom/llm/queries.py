@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import encode, heavy, runs, seen, spans, terms
+from strandloom.llm import encode, heavy, mixing, runs, seen, spans, subjects, terms
 from strandloom.session import saved, table
 
 READ_ONCE = """once AS (SELECT read_id, any_value(minims) AS minims, any_value(pos) AS pos FROM minspace
@@ -181,3 +181,45 @@ sum(z - a + 1) / len(any_value(minims)) AS share FROM stretch JOIN once USING (r
     "p6_rates": _P6 + """ SELECT kind, count(*) AS n_records, count(*) FILTER (again) AS n_repeats, CAST(0 AS BIGINT) AS n_wrong,
 CAST(0 AS DOUBLE) AS wrong_rate FROM r GROUP BY kind""",
 }
+
+
+# -- 8: mixing sources --------------------------------------------------------------------------------------------------------
+
+def chosen_mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, mixing.Targets]:
+    targets = mixing.read_targets(table(spark, sf_dir, "mix_targets"))
+    return mixing.choose(mixing.memberships(table(spark, sf_dir, "documents"), targets), targets), targets
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix: how often each is used, under the source it counts for."""
+    chosen, _ = chosen_mix(spark, sf_dir)
+    return chosen.where("repeats > 0").select("doc_id", F.col("domain").alias("source"), "soft", "n_tokens", "rate", "repeats")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of each source."""
+    return mixing.shares(*chosen_mix(spark, sf_dir))
+
+
+# -- 9: subject areas ---------------------------------------------------------------------------------------------------------
+
+SOURCES = ["course_dump", "forge_main", "handover_disks", "lab_tarballs", "mirror_west", "package_index", "paste_archive"]
+
+
+def subjects_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "subject_labels"), SOURCES)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the subjects they deal with."""
+    return subjects_of(spark, sf_dir).select("doc_id", F.explode("subjects").alias("subject"))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each subject and their share of all documents; the row `none` counts those without any."""
+    found = subjects_of(spark, sf_dir).select(F.explode(F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.array(F.lit("none")))).alias("subject"))
+    total = table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
+    return found.groupBy("subject").agg(F.count("*").alias("n_documents")).withColumn("share", F.col("n_documents") / total)
+
+
+QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
