@@ -191,9 +191,9 @@ def chosen_mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, mixing.Targ
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of the mix: how often each is used, under the source it counts for."""
+    """How often the mix uses each document (0: not at all), under the source it counts for."""
     chosen, _ = chosen_mix(spark, sf_dir)
-    return chosen.where("repeats > 0").select("doc_id", F.col("domain").alias("source"), "soft", "n_tokens", "rate", "repeats")
+    return chosen.select("doc_id", F.col("domain").alias("source"), "soft", "n_tokens", "rate", "repeats")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
