@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandloom.plans import sequence_queries, skew_queries
+from strandloom.plans import graph_queries, sequence_queries, skew_queries
 
-MODULES = [skew_queries, sequence_queries]
+MODULES = [skew_queries, sequence_queries, graph_queries]
 
 
 def queries() -> dict:
