@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.dna import canonical, windows
+from strandloom.session import saved
 
 
 def nodes_once(nodes: DataFrame) -> DataFrame:
@@ -63,17 +64,30 @@ def overlap_counts(intervals: DataFrame, by: str, start: str, end: str, min_over
     return b.select(*cols, (F.col("__started") - F.col("__ended") - 1).alias("n_overlaps"))
 
 
-def similar_lists(lists: DataFrame, distance: float = 0.15, n: int = 2) -> DataFrame:
-    """read_id, class_id, n_links: how many other reads lie within a Jaccard distance of their element sets below `distance` and share
-    n consecutive elements in either direction.
+def list_classes(lists: DataFrame) -> DataFrame:
+    """lists with class_id: equal lists, in either direction, form a class.  Empty lists have none and are left out."""
+    keyed = lists.where(F.size("minims") > 0).withColumn("__c", canonical(F.col("minims")))
+    return keyed.withColumn("class_id", F.xxhash64("__c", F.size("__c"))).drop("__c")
+
+
+def class_sets(lists: DataFrame, n: int) -> DataFrame:
+    """class_id, members, s (sorted distinct elements), grams (canonical runs of n elements)."""
+    classes = list_classes(lists).groupBy("class_id").agg(F.first("minims").alias("list"), F.count("*").alias("members"))
+    return classes.select("class_id", "members", F.array_sort(F.array_distinct("list")).alias("s"), F.transform(windows("list", n), canonical).alias("grams"))
 
-    Equal lists (in either direction) form classes, which stand for their members.  Classes meet over their rarest elements only: two
-    sets that similar must share one of each one's first |s| - ceil((1 - distance) |s|) + 1 elements in any common order, and by
-    rising frequency these are never the elements that hold most occurrences unless a set has no others.
+
+def class_pairs(lists: DataFrame, distance: float = 0.15, n: int = 2) -> DataFrame:
+    """class_id, other, dist, members, members2: pairs of classes (each once) below a Jaccard distance that share n consecutive elements.
+
+    Classes meet over their rarest elements only: two sets that similar must share one of each one's first
+    |s| - ceil((1 - distance) |s|) + 1 elements in any common order, and by rising frequency these are never the elements that
+    hold most occurrences unless a set has no others.
     """
-    keyed = lists.where(F.size("minims") > 0).withColumn("list", canonical(F.col("minims"))).withColumn("class_id", F.xxhash64("list", F.size("list")))
-    classes = keyed.groupBy("class_id").agg(F.first("list").alias("list"), F.count("*").alias("members"))
-    sets = classes.select("class_id", "members", F.array_sort(F.array_distinct("list")).alias("s"), F.transform(windows("list", n), canonical).alias("grams"))
+    return pairs_of_sets(saved(class_sets(lists, n)), distance)
+
+
+def pairs_of_sets(sets: DataFrame, distance: float) -> DataFrame:
+    """The pairs of `class_pairs` from the result of `class_sets`, which is read several times and should be saved."""
     freq = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
     rows = sets.select("class_id", F.size("s").alias("size"), F.explode("s").alias("x")).join(freq, "x")
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("f", "x")))
@@ -82,15 +96,22 @@ def similar_lists(lists: DataFrame, distance: float = 0.15, n: int = 2) -> DataF
     near = (F.col("size2") >= (1 - distance) * F.col("size")) & (F.col("size") >= (1 - distance) * F.col("size2"))
     cand = prefix.join(other, "x").where((F.col("class_id") < F.col("other")) & near).select("class_id", "other").distinct()
     right = sets.select(F.col("class_id").alias("other"), F.col("s").alias("s2"), F.col("grams").alias("grams2"), F.col("members").alias("members2"))
-    pairs = cand.join(sets, "class_id").join(right, "other").where(
-        (1 - F.size(F.array_intersect("s", "s2")) / F.size(F.array_union("s", "s2")) < distance) & F.arrays_overlap("grams", "grams2")
-    )
+    dist = 1 - F.size(F.array_intersect("s", "s2")) / F.size(F.array_union("s", "s2"))
+    pairs = cand.join(sets, "class_id").join(right, "other").withColumn("dist", dist)
+    return pairs.where((F.col("dist") < distance) & F.arrays_overlap("grams", "grams2")).select("class_id", "other", "dist", "members", "members2")
+
+
+def similar_lists(lists: DataFrame, distance: float = 0.15, n: int = 2) -> DataFrame:
+    """read_id, class_id, n_links: how many other reads lie within a Jaccard distance of their element sets below `distance` and share
+    n consecutive elements in either direction.  Members of a class link to one another without being paired."""
+    sets = saved(class_sets(lists, n))
+    pairs = pairs_of_sets(sets, distance)
     links = pairs.select("class_id", F.col("members2").alias("m")).union(pairs.select("other", "members")).groupBy("class_id").agg(F.sum("m").alias("linked"))
     own = sets.select("class_id", "members", (F.size("grams") > 0).alias("able"))
     total = own.join(links, "class_id", "left").select(
         "class_id", (F.coalesce("linked", F.lit(0)) + F.when(F.col("able"), F.col("members") - 1).otherwise(0)).alias("n_links")
     )
-    return keyed.select("read_id", "class_id").join(total, "class_id").select("read_id", "class_id", "n_links")
+    return list_classes(lists).select("read_id", "class_id").join(total, "class_id").select("read_id", "class_id", "n_links")
 
 
 def levenshtein_ball(lmers: DataFrame, column: str) -> DataFrame:

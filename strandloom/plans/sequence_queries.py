@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from strandloom import kernels
 from strandloom.functions import dna
-from strandloom.operators import analytics, kminmers, minspace
+from strandloom.operators import analytics, correct, kminmers, minspace
 from strandloom.params import Params, sample_lengths
-from strandloom.session import table
+from strandloom.plans import pipeline
+from strandloom.session import saved, table
 
 K = 5
 DENSITY = Params(k=K, l=12, density=0.05)
@@ -140,6 +141,22 @@ def similar_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.similar_lists(lists(spark, sf_dir)).select("read_id", "n_links")
 
 
+def corrected_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads after consensus with similar reads: minimizers before and after, identity of the new sequence with the old."""
+    own = reads(spark, sf_dir).select("read_id", dna.clean_seq("seq").alias("seq"))
+    found = saved(minspace.minimizers(own, DENSITY))
+    done = correct.corrected(own, found, DENSITY.l)
+    pairs = done.select("read_id", F.col("seq").alias("a")).join(own.select("read_id", F.col("seq").alias("b")), "read_id")
+    sizes = found.select("read_id", F.size("minims").alias("n_before")).join(done.select("read_id", F.size("minims").alias("n_after")), "read_id")
+    return sizes.join(correct.identities(pairs), "read_id")
+
+
+def assembled_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assembly of the reads: length, nodes and abundance of each contig."""
+    done = pipeline.assemble(table(spark, sf_dir, "reads"), DENSITY)
+    return done.contigs.select("name", F.length("seq").alias("bases"), "n_nodes", "mean_abundance")
+
+
 def run_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by the part of the read id before the first slash."""
     return analytics.genome_ids(table(spark, sf_dir, "reads"), "read_id", "/")
@@ -148,7 +165,7 @@ def run_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     read_lengths, hpc_reads, revcomp_reads, base_composition, minimizers_density, minimizers_syncmer, lmer_counts, robust_minimizers, dictionary_minimizers,
     kminmer_counts, kminmer_nodes, read_stats, subread_coverage, kminmer_set_compare, abundance_histogram, mappability, ngram_successors,
-    minimizer_spacing, similar_reads, run_reads,
+    minimizer_spacing, similar_reads, corrected_reads, assembled_contigs, run_reads,
 )}
 
 
