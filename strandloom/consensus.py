@@ -12,7 +12,7 @@ MATCH, MISMATCH, GAP = 1, -1, -1
 
 
 class Graph:
-    """A directed acyclic graph of elements; edges carry a weight and the text between their elements."""
+    """A directed acyclic graph of elements; edges carry a weight and the weights of the texts between their elements."""
 
     def __init__(self, values: list, texts: list[str], weight: int = 1):
         self.values = list(values)
@@ -25,8 +25,9 @@ class Graph:
         edge = self.after[a].get(b)
         if edge:
             edge[0] += weight
+            edge[1][text] = edge[1].get(text, 0) + weight
         else:
-            self.after[a][b] = [weight, text]
+            self.after[a][b] = [weight, {text: weight}]
             self.before[b].append(a)
 
     def order(self) -> list[int]:
@@ -100,7 +101,7 @@ class Graph:
             last = (node, j)
 
     def consensus(self, threshold: int = 0) -> tuple[list, list[str]]:
-        """Elements of the heaviest path and the texts between them; edges below the threshold weigh nothing."""
+        """Elements of the heaviest path and the most common texts between them; edges below the threshold weigh nothing."""
         total = [0] * len(self.values)
         best: list[int | None] = [None] * len(self.values)
         for v in reversed(self.order()):
@@ -115,7 +116,8 @@ class Graph:
         v = max(range(len(total)), key=lambda i: (total[i], -i))
         path, texts = [v], []
         while best[v] is not None:
-            texts.append(self.after[v][best[v]][1])
+            between = self.after[v][best[v]][1]
+            texts.append(max(between, key=between.get))
             v = best[v]
             path.append(v)
         return [self.values[i] for i in path], texts

@@ -41,7 +41,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """
     if compression(path) == "lz4":
         raise ValueError("unpack LZ4 frames first: Spark's codec reads another framing")
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"), F.input_file_name().alias("file"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"), F.input_file_name().alias("file"))
     records = lines.groupBy("file", F.floor(F.col("n") / 4).alias("r")).agg(
         F.max(F.when(F.col("n") % 4 == 0, F.col("line"))).alias("head"), F.max(F.when(F.col("n") % 4 == 1, F.col("line"))).alias("seq")
     )
@@ -162,7 +162,7 @@ def corrected_lines(reads: DataFrame) -> DataFrame:
 
 def read_corrected(spark: SparkSession, path: str) -> DataFrame:
     """read_id, seq, minims, pos of 5-line records; each file is grouped by its line numbers, so give many files for parallel reading."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"), F.input_file_name().alias("file"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"), F.input_file_name().alias("file"))
     line = lambda i: F.max(F.when(F.col("n") % 5 == i, F.col("line")))
     rows = lines.groupBy("file", F.floor(F.col("n") / 5).alias("r")).agg(line(0).alias("read_id"), line(1).alias("seq"), line(2).alias("m"), line(4).alias("p"))
     return rows.where("p IS NOT NULL").select("read_id", "seq", F.from_json("m", "array<bigint>").alias("minims"), F.from_json("p", "array<int>").alias("pos"))
