@@ -267,7 +267,7 @@ def test_perfect_reads_give_the_genome_back(spark):
 def test_multi_k(spark):
     genome = dna_text(4000, 6)
     df = spark.createDataFrame([(f"{i}.{x}", genome[a : a + 1500]) for i, a in enumerate(range(0, 2501, 250)) for x in "ab"], "read_id string, seq string")
-    found = pipeline.multi_k(df, Params(l=12, density=0.02, hpc=False), min_contig=1000, first_k=5, step=8)
+    found = pipeline.multi_k(df, Params(l=12, density=0.02, hpc=False), min_contig=1000, first_k=5, step=20)
     assert max(len(r.seq) for r in found.collect()) > 3000
 
 
