@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.dna import canonical, without_first, without_last
-from strandloom.session import saved
+from strandloom.session import written
 
 
 def edges(nodes: DataFrame, k: int, presimp: float = 0.0) -> DataFrame:
@@ -59,7 +59,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = links.where(F.col("n1").isNotNull() & F.col("n2").isNotNull()).select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"))
     every = pairs.select(F.col("a").alias("node_id")).union(pairs.select("b")).distinct()
-    cur = saved(pairs.where("a <> b").distinct())
+    cur = written(pairs.where("a <> b").distinct())
     seen = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node moves to the node's smallest neighbour (or itself)
@@ -70,7 +70,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).union(low.select("m", "b"))
-        cur = saved(small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        cur = written(small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         state = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break
@@ -105,20 +105,20 @@ def unitigs(links: DataFrame, all_nodes: DataFrame | None = None, max_rounds: in
     single_out = e.groupBy("u").agg(F.count("*").alias("c"), F.min("v").alias("v")).where("c = 1").select("u", "v")
     single_in = e.groupBy("v").agg(F.count("*").alias("c")).where("c = 1").select("v")
     # a node does not follow its own mirror image
-    step = saved(single_out.join(single_in, "v", "left_semi").where("u.n <> v.n"))
+    step = written(single_out.join(single_in, "v", "left_semi").where("u.n <> v.n"))
     nodes = both.select("n1")
     if all_nodes is not None:
         nodes = nodes.union(all_nodes.select("node_id"))
     ends = nodes.distinct().select(F.explode(F.array(*[F.struct(F.col("n1").alias("n"), F.lit(x).alias("o")) for x in "+-"])).alias("v"))
     # at: the farthest node reached backwards, hops: steps to it, low: smallest node on the way, root: nothing leads to `at`
     first = F.col("u").isNull()
-    state = saved(ends.join(step, "v", "left").select(
-        "v", F.coalesce("u", "v").alias("at"), F.when(first, 0).otherwise(1).alias("hops"), F.least("v", F.coalesce("u", "v")).alias("low"), first.alias("root")))
+    state = written(ends.join(step, "v", "left").select(
+        "v", F.coalesce("u", "v").alias("at"), (~first).cast("bigint").alias("hops"), F.least("v", F.coalesce("u", "v")).alias("low"), first.alias("root")))
     for _ in range(max_rounds):
         back = state.select(F.col("v").alias("at"), F.col("at").alias("at2"), F.col("hops").alias("hops2"), F.col("low").alias("low2"), F.col("root").alias("root2"))
         both_ways = state.join(back, "at")
         moved = F.when(F.col("root2"), ~F.col("root")).otherwise(F.col("low2") < F.col("low"))
-        state = saved(both_ways.select(
+        state = written(both_ways.select(
             "v", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("low", "low2").alias("low"), F.col("root2").alias("root"), moved.alias("moved")))
         if state.where("moved").limit(1).count() == 0:
             break
@@ -127,7 +127,7 @@ def unitigs(links: DataFrame, all_nodes: DataFrame | None = None, max_rounds: in
     circle = state.where("NOT root").select("v", "low")
     path = state.where("root").select("v", F.col("at").alias("head"), F.col("hops").alias("ord"))
     rings = _number_circles(circle, step, max_rounds)
-    found = saved(path.union(rings))
+    found = written(path.union(rings))
     # one of a path and its mirror image: the smaller of both heads; the mirror's head is the flipped tail
     tail = found.groupBy("head").agg(F.max(F.struct("ord", "v")).alias("t")).select("head", F.struct(F.col("t.v.n").alias("n"), flip(F.col("t.v.o")).alias("o")).alias("mirror"))
     kept = found.join(tail, "head").where(F.col("head") <= F.col("mirror"))
@@ -139,14 +139,14 @@ def _number_circles(circle: DataFrame, step: DataFrame, max_rounds: int) -> Data
     smaller cut."""
     own = circle.select("v", "low")
     other = circle.select(F.struct(F.col("v.n").alias("n"), flip(F.col("v.o")).alias("o")).alias("v"), F.col("low").alias("low2"))
-    own = saved(own.join(other, "v").where(F.col("low") <= F.col("low2")).select("v", "low"))
+    own = written(own.join(other, "v").where(F.col("low") <= F.col("low2")).select("v", "low"))
     before = step.join(own.select("v", "low"), "v").where(F.col("v") != F.col("low")).select("v", "u")
-    state = saved(own.select("v").join(before, "v", "left").select("v", F.coalesce("u", "v").alias("at"), F.when(F.col("u").isNull(), 0).otherwise(1).alias("hops")))
+    state = written(own.select("v").join(before, "v", "left").select("v", F.coalesce("u", "v").alias("at"), F.col("u").isNotNull().cast("bigint").alias("hops")))
     if state.limit(1).count() == 0:
         return state.select("v", F.col("at").alias("head"), F.col("hops").alias("ord"))
     for _ in range(max_rounds):
         back = state.select(F.col("v").alias("at"), F.col("at").alias("at2"), F.col("hops").alias("hops2"))
-        state = saved(state.join(back, "at").select("v", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("hops2") > 0).alias("moved")))
+        state = written(state.join(back, "at").select("v", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("hops2") > 0).alias("moved")))
         if state.where("moved").limit(1).count() == 0:
             break
         state = state.drop("moved")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import basespace, graph, kminmers, minspace
 from strandloom.params import Params, sample_lengths
-from strandloom.session import saved
+from strandloom.session import written
 
 
 @dataclass(frozen=True)
@@ -27,24 +27,24 @@ def assemble(reads: DataFrame, p: Params, tip_nodes: int = 10, tip_length: int =
     every row as its own read (contigs given twice then count twice); otherwise each read_id counts once.
     """
     if weighted:
-        own = saved(reads.where("read_id IS NOT NULL AND seq IS NOT NULL").select("read_id", "seq"))
+        own = written(reads.where("read_id IS NOT NULL AND seq IS NOT NULL").select("read_id", "seq"))
     else:
         own = minspace.reads_once(reads)
     lists = minspace.minimizers(own, p)
-    nodes = saved(kminmers.node_ids(kminmers.nodes(lists, p.k, p.min_abundance, p.strict)))
-    edges = saved(graph.edges(nodes, p.k, p.presimp))
+    nodes = written(kminmers.node_ids(kminmers.nodes(lists, p.k, p.min_abundance, p.strict)))
+    edges = written(graph.edges(nodes, p.k, p.presimp))
     links = graph.both_sides(edges)
     for _ in range(rounds if tip_length or bubble_length else 0):
-        links = saved(links)
-        paths = saved(graph.unitigs(links, nodes))
+        links = written(links)
+        paths = written(graph.unitigs(links, nodes))
         gone = graph.tips(links, paths, nodes, tip_nodes, tip_length)
         if bubble_length:
             gone = gone.union(graph.bubbles(links, paths, basespace.unitig_stats(paths, nodes), bubble_length))
-        gone = saved(gone.distinct())
+        gone = written(gone.distinct())
         out = paths.join(gone, "unitig", "left_semi").select("node_id").distinct()
         links = graph.without_unitigs(links, paths, gone)
-        nodes = saved(nodes.join(out, "node_id", "left_anti"))
-    paths = saved(graph.unitigs(links, nodes))
+        nodes = written(nodes.join(out, "node_id", "left_anti"))
+    paths = written(graph.unitigs(links, nodes))
     contigs = basespace.contigs(paths, basespace.node_sequences(nodes, own, p.l))
     return Assembly(nodes, edges, paths, contigs)
 
@@ -58,7 +58,7 @@ def multi_k(reads: DataFrame, p: Params, min_contig: int = 100_000, first_k: int
     source = own
     contigs = None
     for k in range(first_k, last + 1, step):
-        contigs = saved(assemble(source, replace(p, k=k), weighted=True).contigs)
+        contigs = written(assemble(source, replace(p, k=k), weighted=True).contigs)
         long = contigs.where(F.length("seq") >= min_contig)
         copies = [long.select(F.concat(F.lit(f"k{k}.{i}."), "name").alias("read_id"), "seq") for i in (1, 2)]
         source = copies[0].unionByName(copies[1]).unionByName(own)
@@ -67,7 +67,7 @@ def multi_k(reads: DataFrame, p: Params, min_contig: int = 100_000, first_k: int
 
 def read_stats(reads: DataFrame, p: Params) -> DataFrame:
     """read_id, counts: abundance of each window of each read among the kept nodes."""
-    lists = saved(minspace.minimizers(minspace.reads_once(reads), p))
+    lists = written(minspace.minimizers(minspace.reads_once(reads), p))
     return kminmers.read_stats(lists, kminmers.counts(lists, p.k, p.min_abundance, p.strict), p.k, p.strict)
 
 

@@ -29,6 +29,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, for loops that join a frame with itself.
+
+    A checkpoint keeps the size estimated for its plan, which such a loop squares each round until planning takes all the time; a table
+    has the size of its files.
+    """
+    where = shared_dir(df.sparkSession, "table")
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -264,6 +264,15 @@ def test_perfect_reads_give_the_genome_back(spark):
     assert len(stats) == len(reads) and all(min(r.counts) >= 2 for r in stats)
 
 
+def test_multi_k(spark):
+    genome = dna_text(4000, 6)
+    df = spark.createDataFrame([(f"{i}.{x}", genome[a : a + 1500]) for i, a in enumerate(range(0, 2501, 250)) for x in "ab"], "read_id string, seq string")
+    found = pipeline.multi_k(df, Params(l=12, density=0.02, hpc=False), min_contig=1000, first_k=5, step=20)
+    seqs = [r.seq for r in found.collect()]
+    both = (genome, genome[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    assert max(map(len, seqs)) > 3900 and all(any(s in g for g in both) for s in seqs)
+
+
 def test_overlap_repair(spark):
     e = links(spark, [(1, "+", 2, "+", 50), (1, "+", 2, "-", 10), (1, "+", 9, "+", 1), (1, "+", 2, "+", None)])
     sizes = spark.createDataFrame([(1, 40), (2, 30)], "node_id bigint, seqlen bigint")
