@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import encode, heavy, mixing, runs, seen, spans, subjects, terms
-from strandloom.session import saved, table
+from strandloom.session import table
 
 READ_ONCE = """once AS (SELECT read_id, any_value(minims) AS minims, any_value(pos) AS pos FROM minspace
   WHERE read_id IS NOT NULL AND minims IS NOT NULL GROUP BY read_id)"""
@@ -136,9 +136,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records, repeats and wrong answers of each kind."""
-    records = saved(seen_records(spark, sf_dir))
-    return seen.wrong_answers(records, seen.decide(records))
+    """Records, repeats and wrong answers of each kind; the truth comes from whole lists and ids."""
+    firsts = seen.exact_firsts(table(spark, sf_dir, "minspace"), "minims", "minims", "arrival_no").unionByName(
+        seen.exact_firsts(table(spark, sf_dir, "nodes"), "node_id", "node_id", "arrival_no")
+    )
+    return seen.wrong_answers(firsts, seen.decide(seen_records(spark, sf_dir)))
 
 
 _P6 = """WITH a AS (SELECT 'minims' AS kind, arrival_no, CAST(minims AS VARCHAR) AS k FROM minspace WHERE len(minims) > 0

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from strandloom.session import saved, shared_dir
 
@@ -85,10 +86,18 @@ def decide(records: DataFrame, deliveries: int = DELIVERIES) -> DataFrame:
     return spark.read.schema("kind string, no bigint, repeat boolean").parquet(f"{base}/decisions").select("kind", "no", "repeat")
 
 
-def wrong_answers(records: DataFrame, decisions: DataFrame) -> DataFrame:
-    """kind, n_records, n_repeats, n_wrong, wrong_rate: the decisions held against one batch pass over all records, in which the
-    keys are compared by what the stream compared."""
-    first = records.groupBy("kind", "k1", "k2").agg(F.min("no").alias("no")).select("kind", "no", F.lit(False).alias("truth"))
-    both = decisions.join(first, ["kind", "no"], "left").withColumn("wrong", F.coalesce("truth", F.lit(True)) != F.col("repeat"))
+def exact_firsts(df: DataFrame, kind: str, column: str, order: str) -> DataFrame:
+    """kind, no: the first arrival of every whole value of `column`, which is not hashed; null values and empty lists have none."""
+    c = F.col(column)
+    some = F.size(c) > 0 if isinstance(df.schema[column].dataType, ArrayType) else c.isNotNull()
+    kept = df.where(some & F.col(order).isNotNull()).select(c.alias("key"), F.col(order).alias("no"))
+    return kept.groupBy("key").agg(F.min("no").alias("no")).select(F.lit(kind).alias("kind"), "no")
+
+
+def wrong_answers(firsts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """kind, n_records, n_repeats, n_wrong, wrong_rate: the decisions held against the true first arrivals (`exact_firsts`), so two
+    values that the stream took for one key count as wrong."""
+    truth = firsts.select("kind", "no", F.lit(False).alias("truth"))
+    both = decisions.join(truth, ["kind", "no"], "left").withColumn("wrong", F.coalesce("truth", F.lit(True)) != F.col("repeat"))
     counted = both.groupBy("kind").agg(F.count("*").alias("n_records"), F.count_if("repeat").alias("n_repeats"), F.count_if("wrong").alias("n_wrong"))
     return counted.withColumn("wrong_rate", F.col("n_wrong") / F.col("n_records"))

@@ -172,8 +172,13 @@ def test_seen_in_order_of_arrival(spark):
             past.add(tuple(k))
     want |= {("id", 1): False, ("id", 3): False, ("id", 5): True, ("id", 9): True}
     assert got == want
-    wrong = seen.wrong_answers(records, seen.decide(records, 2)).collect()
+    firsts = seen.exact_firsts(df, "list", "l", "no2").union(seen.exact_firsts(ids, "id", "l", "no2"))
+    wrong = seen.wrong_answers(firsts, seen.decide(records, 2)).collect()
     assert sum(r.n_wrong for r in wrong) == 0 and sum(r.n_repeats for r in wrong) == sum(want.values())
+    # a key that takes all ids for one: arrival 1 (id 2) comes first, so arrival 3, the first of id 1, is wrongly a repeat
+    one = seen.arrivals(ids, "id", [F.when(F.col("l").isNotNull(), F.lit(7).cast("bigint")), F.lit(0).cast("bigint")], "no2")
+    bad = seen.wrong_answers(seen.exact_firsts(ids, "id", "l", "no2"), seen.decide(one, 2)).first()
+    assert (bad.n_records, bad.n_repeats, bad.n_wrong) == (4, 3, 1)
 
 
 def test_seen_empty(spark):
