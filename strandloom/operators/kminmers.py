@@ -84,6 +84,16 @@ def hits(targets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return t.join(q, "kmer").select("target_id", "pos", "query_id", "query_pos")
 
 
+def hit_windows(targets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """target_id, pos, n_hits: each window of a target that queries hold in either direction, with its occurrences among them.
+
+    What `hits` lists, without a row for each pair: queries are counted by window first, so a window that many of them hold costs
+    one row for each place in a target.
+    """
+    t = occurrences(targets, k, strict=False).select(F.col("read_id").alias("target_id"), F.col("i").alias("pos"), "kmer")
+    return t.join(counts(queries, k, strict=False), "kmer").select("target_id", "pos", F.col("abundance").alias("n_hits"))
+
+
 def coverage(targets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, n_kminmers, covered, pct: distinct windows of each query that any target holds; queries with no window are left out.
 

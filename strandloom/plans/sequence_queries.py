@@ -108,6 +108,12 @@ def subread_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kminmers.coverage(ccs, sub, K)
 
 
+def subread_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of consensus reads that subreads hold, with their occurrences there."""
+    ccs, sub = _kinds(spark, sf_dir)
+    return kminmers.hit_windows(ccs, sub, K)
+
+
 def kminmer_set_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct windows of consensus reads and of subreads, and what they share."""
     ccs, sub = _kinds(spark, sf_dir)
@@ -164,7 +170,7 @@ def run_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     read_lengths, hpc_reads, revcomp_reads, base_composition, minimizers_density, minimizers_syncmer, lmer_counts, robust_minimizers, dictionary_minimizers,
-    kminmer_counts, kminmer_nodes, read_stats, subread_coverage, kminmer_set_compare, abundance_histogram, mappability, ngram_successors,
+    kminmer_counts, kminmer_nodes, read_stats, subread_coverage, subread_hits, kminmer_set_compare, abundance_histogram, mappability, ngram_successors,
     minimizer_spacing, similar_reads, corrected_reads, assembled_contigs, run_reads,
 )}
 
@@ -221,6 +227,8 @@ SELECT read_id, list(coalesce(n, 0) ORDER BY i) AS counts FROM occ LEFT JOIN kno
     "subread_coverage": f"""WITH {_windows(K, False)}, held AS (SELECT DISTINCT kmer FROM occ WHERE read_id LIKE '%/ccs')
 SELECT read_id AS query_id, count(*) AS n_kminmers, count(held.kmer) AS covered, 100 * count(held.kmer) / count(*) AS pct
 FROM occ LEFT JOIN held USING (kmer) WHERE read_id LIKE '%/sub' GROUP BY read_id""",
+    "subread_hits": f"""WITH {_windows(K, False)}, q AS (SELECT kmer, count(*) AS n_hits FROM occ WHERE read_id LIKE '%/sub' GROUP BY kmer)
+SELECT read_id AS target_id, CAST(i AS INTEGER) AS pos, n_hits FROM occ JOIN q USING (kmer) WHERE read_id LIKE '%/ccs'""",
     "kminmer_set_compare": f"""WITH {_windows(K)}, g AS (SELECT kmer, max(CAST(read_id LIKE '%/ccs' AS BIGINT)) AS a, max(CAST(read_id LIKE '%/sub' AS BIGINT)) AS b FROM occ GROUP BY kmer)
 SELECT CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b, CAST(sum(a * b) AS BIGINT) AS n_both, 100 * sum(a * b) / sum(a) AS pct_a_in_b, 100 * sum(a * b) / sum(b) AS pct_b_in_a FROM g""",
     "abundance_histogram": f"""WITH {_windows(K)}, s AS (SELECT kmer, count(*) AS n FROM occ WHERE read_id LIKE '%/sub' GROUP BY kmer), t AS (SELECT DISTINCT kmer FROM occ WHERE read_id LIKE '%/ccs')

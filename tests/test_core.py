@@ -120,6 +120,9 @@ def test_read_stats_and_coverage(spark):
     cov = {r.query_id: (r.n_kminmers, r.covered, r.pct) for r in kminmers.coverage(df.where("read_id = 'r000'"), df, 3).collect()}
     assert cov == {"r000": (2, 2, 100.0), "r001": (2, 2, 100.0), "r002": (2, 0, 0.0)}
     assert len(rows(kminmers.hits(df.where("read_id = 'r000'"), df.where("read_id = 'r001'"), 3))) == 2
+    # r002 holds its window twice, r000 and r001 hold each other's in the other direction
+    held = {(r.target_id, r.pos): r.n_hits for r in kminmers.hit_windows(df, df.where("read_id > 'r000'"), 3).collect()}
+    assert held == {("r000", 0): 1, ("r000", 1): 1, ("r001", 0): 1, ("r001", 1): 1, ("r002", 0): 2, ("r002", 1): 2}
     one = kminmers.compare_sets(known.where("kmer[0] = 9"), known).first()
     assert (one.n_a, one.n_b, one.n_both, one.pct_a_in_b) == (1, 3, 1, 100.0)
     assert kminmers.compare_sets(known.limit(0), known.limit(0)).first().n_both == 0
