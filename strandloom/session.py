@@ -33,7 +33,7 @@ def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder, for loops that join a frame with itself.
 
     A checkpoint keeps the size estimated for its plan, which such a loop squares each round, until a round over a few hundred rows takes
-    minutes; a table has the size of its files.
+    many seconds; a table has the size of its files.
     """
     where = shared_dir(df.sparkSession, "table")
     df.write.parquet(where)
