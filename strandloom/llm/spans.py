@@ -5,7 +5,16 @@
    differ.  A record's partner at a seed is the smallest holder (the largest for that one itself), so links grow with the seeds
    and never with the pairs of holders, and neighbouring seeds of a copied stretch agree on their partner.
 3. Each record chains its seeds with every partner: matched blocks in order, gap costs, a Fenwick tree for the best predecessor.
-4. A record's covered stretches are the union of its chained seeds; passages are the chains aligned against the partner.
+4. A record's covered stretches are the union of its chained seeds.
+
+Passages need every pair of records, and every occurrence of a window, not one partner a seed:
+
+1. Two holders of a window give a row only where their common stretch begins or ends, as told by the elements beside the window; so
+   rows grow with the stretches of all pairs and not with their windows.
+2. Windows of one element only would pair most records with most others.  They are not paired: a run of such windows is a class row
+   (`run`), and any two rows of a class share just the shorter one.  Pairs with another stretch, or with two runs, in common get the
+   blocks of their runs back before chaining.
+3. The blocks of each pair are chained and aligned; each passage is written from either side.
 
 Records whose list is null, shorter than k, or that have no id share nothing.  A null inside a list equals only a null.
 """
@@ -230,6 +239,171 @@ def shared_chains(records: DataFrame, k: int = 8, gap_cost: float = 0.1) -> Data
     )
 
 
+def one_element_runs(values: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Record, start and length of the maximal runs of one element, at least k long, inside the lists values[at[i]:at[i+1]]."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    first = np.flatnonzero(np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1]))) if len(values) else np.empty(0, dtype=np.int64)
+    size = np.diff(np.append(first, len(values)))
+    long = size >= k
+    return owner[first[long]], first[long], size[long]
+
+
+def _flanked(k: int):
+    """Arrow kernel: (rec, id, list) -> every window of more than one element, with its canonical direction (a palindrome has both)
+    and the elements before and behind it in that direction; null where the list, or the stretch of such windows, ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, at = list_values(batch.column(2))
+            start, h1, h2, back = window_seeds(values, at, k)
+            _, run_at, size = one_element_runs(values, at, k)
+            flat = np.zeros(len(values) + 1, dtype=np.int64)
+            np.add.at(flat, run_at, 1)
+            np.add.at(flat, run_at + size - k + 1, -1)
+            flat = np.cumsum(flat) > 0
+            mirror = np.array([np.array_equal(values[x : x + k], values[x : x + k][::-1]) for x in start[values[start] == values[start + k - 1]].tolist()], dtype=bool)
+            palindrome = np.zeros(len(start), dtype=bool)
+            palindrome[values[start] == values[start + k - 1]] = mirror
+            keep = ~flat[start]
+            start, h1, h2, back, palindrome = (x[keep] for x in (start, h1, h2, back, palindrome))
+            twice = np.flatnonzero(palindrome)
+            pick = np.append(np.arange(len(start)), twice)
+            back = np.append(back & ~palindrome, np.ones(len(twice), dtype=bool))
+            start, h1, h2, palindrome = start[pick], h1[pick], h2[pick], palindrome[pick]
+            doc = np.searchsorted(at, start, side="right") - 1
+            has_left, has_right = (start > at[doc]), (start + k < at[doc + 1])
+            has_left &= ~flat[np.maximum(start - 1, 0)]
+            has_right &= ~flat[start + 1]
+            v = values.view(np.int64)
+            left, right = v[np.maximum(start - 1, 0)], v[np.minimum(start + k, len(v) - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(pa.array(doc)),
+                    pa.array((start - at[doc]).astype(np.int32)), pa.array(back), pa.array(palindrome),
+                    pa.array(np.where(back, right, left), mask=~np.where(back, has_right, has_left)),
+                    pa.array(np.where(back, left, right), mask=~np.where(back, has_left, has_right)),
+                ],
+                names=["h1", "h2", "rec", "at", "turned", "both", "prev", "next"],
+            )
+
+    return run
+
+
+def _runs(k: int):
+    """Arrow kernel: (rec, id, list) -> rec and its runs of one element, of records that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, at = list_values(batch.column(2))
+            doc, start, size = one_element_runs(values, at, k)
+            some, first = np.unique(doc, return_index=True)
+            items = pa.StructArray.from_arrays(
+                [pa.array(values.view(np.int64)[start]), pa.array((start - at[doc]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["run", "at", "n"]
+            )
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), items)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), lists], names=["rec", "runs"])
+
+    return run
+
+
+def run_blocks(own: list[dict], theirs: list[dict], k: int) -> set[tuple[bool, int, int, int]]:
+    """(back, start, (mirrored) start in the partner, elements): runs of one element laid at each other's start and at each other's end."""
+    out = set()
+    for a in own:
+        for b in theirs:
+            if a["run"] == b["run"]:
+                n = min(a["n"], b["n"])
+                out.add((False, a["at"], b["at"], n))
+                out.add((False, a["at"] + a["n"] - n, b["at"] + b["n"] - n, n))
+                out.add((True, a["at"], k - b["at"] - b["n"], n))
+                out.add((True, a["at"] + a["n"] - n, k - b["at"] - n, n))
+    return out
+
+
+def joined_blocks(blocks: list[tuple[bool, int, int, int]], k: int) -> list[tuple[bool, int, int, int]]:
+    """Blocks of one diagonal whose windows overlap or follow one another become one; ordered by direction."""
+    out = []
+    for back, a, b, n in sorted(blocks, key=lambda x: (x[0], x[2] - x[1], x[1], x[3])):
+        if out:
+            back0, a0, b0, n0 = out[-1]
+            if back0 == back and b0 - a0 == b - a and a <= a0 + n0 - k + 1:
+                out[-1] = (back, a0, b0, max(n0, a + n - a0))
+                continue
+        out.append((back, a, b, n))
+    return out
+
+
+def _pair_chains(k: int, gap_cost: float):
+    """Arrow kernel: one row a pair with the ends of its common stretches and both records' runs -> chains, as from `_chain`.
+
+    A chain that is one block inside a run of one element is left to the class rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, (ends, own, theirs) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
+                step = [(x["back"], -x["j"] - x["i"] if x["back"] else x["j"] - x["i"], x["i"], x["begins"], x["stops"]) for x in ends or ()]
+                starts = sorted(x[:3] for x in step if x[3])
+                stops = sorted(x[:3] for x in step if x[4])
+                found = [(back, i, d + i, z - i + k) for (back, d, i), (_, _, z) in zip(starts, stops, strict=True)]
+                blocks = joined_blocks(found + list(run_blocks(own or [], theirs or [], k)), k)
+                for back in (False, True):
+                    some = [x[1:] for x in blocks if x[0] == back]
+                    if not some:
+                        continue
+                    i, j, n = (np.array(x) for x in zip(*some))
+                    for chain in [[0]] if len(some) == 1 else chain_blocks(i, j, n, gap_cost):
+                        held = [some[x] for x in chain]
+                        (a, b, _), (a2, b2, n2) = held[0], held[-1]
+                        if len(held) == 1 and any(r["at"] <= a and a + n2 <= r["at"] + r["n"] for r in own or ()):
+                            continue
+                        j0, j1 = (k - n2 - b2, k - b) if back else (b, b2 + n2)
+                        out.append((row, back, a, a2 + n2, j0, j1, sum(x[2] for x in held), held))
+            cols = [*zip(*out)] or [[]] * 8
+            rows = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cols[1], pa.bool_()), *[pa.array(x, pa.int32()) for x in cols[2:7]],
+                    pa.array([[{"at": u, "by": v, "n": m} for u, v, m in x] for x in cols[7]], BLOCKS),
+                ],
+                names=["rec", "partner", "back", "i0", "i1", "j0", "j1", "matched", "blocks"],
+            )
+
+    return run
+
+
+def pair_chains(records: DataFrame, runs: DataFrame, k: int, gap_cost: float = 0.1) -> DataFrame:
+    """rec, partner (rec < partner), back, i0, i1, j0, j1, matched, blocks: chains of every pair of records that shares a window of more
+    than one element, or two runs of one element.  `runs` is (rec, runs)."""
+    windows = records.mapInArrow(_flanked(k), "h1 bigint, h2 int, rec bigint, at int, turned boolean, both boolean, prev bigint, next bigint")
+    a, b = windows.alias("a"), windows.alias("b")
+    differ = lambda c: F.coalesce(F.col(f"a.{c}") != F.col(f"b.{c}"), F.lit(True))
+    same = (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")) & (F.col("a.rec") < F.col("b.rec"))
+    ends = a.join(b.hint("merge"), same & (differ("prev") | differ("next")) & ~(F.col("a.both") & F.col("a.turned")))
+    side = lambda x, y: F.when(F.col("a.turned"), differ(y)).otherwise(differ(x))
+    item = F.struct(
+        (F.col("a.turned") != F.col("b.turned")).alias("back"), F.col("a.at").alias("i"), F.col("b.at").alias("j"),
+        side("prev", "next").alias("begins"), side("next", "prev").alias("stops"),
+    )
+    linked = ends.select(F.col("a.rec").alias("rec"), F.col("b.rec").alias("partner"), item.alias("item"))
+    linked = saved(linked.groupBy("rec", "partner").agg(F.collect_list("item").alias("ends")))  # bounded by both lists
+    theirs = runs.select(F.col("rec").alias("partner"), F.col("runs").alias("runs2"))
+    whole = linked.join(runs, "rec", "left").join(theirs, "partner", "left").select("rec", "partner", "ends", "runs", "runs2")
+    # two runs of one record, in whatever order, as a key
+    two = F.transform("runs", lambda x, p: F.transform(F.slice("runs", p + 2, F.size("runs")), lambda y: F.struct(F.least(x["run"], y["run"]).alias("x"), F.greatest(x["run"], y["run"]).alias("y"))))
+    keyed = runs.where(F.size("runs") > 1).select("rec", "runs", F.explode(F.array_distinct(F.flatten(two))).alias("key"))
+    left, right = keyed.alias("l"), keyed.alias("r")
+    some = left.join(right.hint("merge"), (F.col("l.key") == F.col("r.key")) & (F.col("l.rec") < F.col("r.rec")))
+    some = some.select(F.col("l.rec").alias("rec"), F.col("r.rec").alias("partner"), F.col("l.runs").alias("runs"), F.col("r.runs").alias("runs2"))
+    more = some.dropDuplicates(["rec", "partner"]).join(linked.select("rec", "partner"), ["rec", "partner"], "left_anti")
+    every = whole.unionByName(more.withColumn("ends", F.lit(None).cast(linked.schema["ends"].dataType)))
+    return every.select("rec", "partner", "ends", "runs", "runs2").mapInArrow(
+        _pair_chains(k, gap_cost),
+        "rec bigint, partner bigint, back boolean, i0 int, i1 int, j0 int, j1 int, matched int, blocks array<struct<at:int,by:int,n:int>>",
+    )
+
+
 def _stretches(k: int):
     """Arrow kernel: rows (rec, id, list, pos, blocks) -> id, n_elements, i0, i1, start_pos, end_pos of covered stretches."""
 
@@ -319,13 +493,15 @@ PASSAGE = ["rec", "partner", "back", "i0", "i1", "j0", "j1"]
 
 
 def fuzzy_passages(df: DataFrame, id_col: str, list_col: str, k: int = 8, min_matched: int = 8) -> DataFrame:
-    """id, partner, back, i0, i1, j0, j1, matched, identity: chains of a record with its partners, aligned.
+    """id, partner, back, i0, i1, j0, j1, matched, identity, run: chains of every pair of records, aligned, from either side.
 
     `matched` counts equal elements in blocks and in the aligned gaps, `identity` is their share of the longer side.  Only chains
-    of several blocks need the lists; a partner of very many records is replicated to the tasks that hold them.
+    of several blocks need the lists; a partner of very many records is replicated to the tasks that hold them.  Rows without a partner
+    are the members of a class: a run of the element `run`; any two of them share the shorter run, in both directions.
     """
     records = records_once(df, id_col, list_col)
-    chains = saved(shared_chains(records, k))
+    runs = saved(records.mapInArrow(_runs(k), "rec bigint, runs array<struct<run:bigint,at:int,n:int>>"))
+    chains = saved(pair_chains(records, runs, k))
     lists = records.select("rec", F.col("list").alias("own"))
     multi = chains.where(F.size("blocks") > 1).join(lists, "rec")
     theirs = records.select(F.col("rec").alias("partner"), F.col("list").alias("theirs"))
@@ -334,11 +510,23 @@ def fuzzy_passages(df: DataFrame, id_col: str, list_col: str, k: int = 8, min_ma
         _align(k), "rec bigint, partner bigint, back boolean, i0 int, i1 int, j0 int, j1 int, matched int"
     )
     single = chains.where(F.size("blocks") == 1).select(*PASSAGE, "matched")
-    out = aligned.unionByName(single).where(F.col("matched") >= min_matched)
+    one_side = saved(aligned.unionByName(single).where(F.col("matched") >= min_matched))
+    turned = one_side.select(
+        F.col("partner").alias("rec"), F.col("rec").alias("partner"), "back", F.col("j0").alias("i0"), F.col("j1").alias("i1"), F.col("i0").alias("j0"), F.col("i1").alias("j1"), "matched"
+    )
+    out = one_side.unionByName(turned)
     ids = records.select("rec", "id")
-    named = out.join(ids, "rec")
+    named = balanced_join(out, ids, ["rec"], ["partner", "i0"])
     other = ids.select(F.col("rec").alias("partner"), F.col("id").alias("partner_id"))
-    return balanced_join(named, other, ["partner"], ["rec", "i0"]).select(
+    pairs = balanced_join(named, other, ["partner"], ["rec", "i0"]).select(
         "id", F.col("partner_id").alias("partner"), "back", "i0", "i1", "j0", "j1", "matched",
-        (F.col("matched") / F.greatest(F.col("i1") - F.col("i0"), F.col("j1") - F.col("j0"))).alias("identity"),
+        (F.col("matched") / F.greatest(F.col("i1") - F.col("i0"), F.col("j1") - F.col("j0"))).alias("identity"), F.lit(None).cast("bigint").alias("run"),
+    )
+    long = runs.select("rec", F.inline("runs")).where(F.col("n") >= min_matched)
+    classes = long.groupBy("run").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).where("low <> high").select("run")
+    kind = df.schema[id_col].dataType
+    members = long.join(classes, "run", "left_semi").join(ids, "rec").select(
+        "id", F.lit(None).cast(kind).alias("partner"), F.lit(None).cast("boolean").alias("back"), F.col("at").alias("i0"), (F.col("at") + F.col("n")).alias("i1"),
+        F.lit(None).cast("int").alias("j0"), F.lit(None).cast("int").alias("j1"), F.col("n").alias("matched"), F.lit(1.0).alias("identity"), "run",
     )
+    return pairs.unionByName(members)

@@ -132,6 +132,48 @@ def test_passages_bridge_differences(spark):
     assert any(r.back for r in best) or any(r.back for r in found.values())
 
 
+def test_passages_of_every_pair(spark):
+    """A third record holds part of each passage, windows repeat, runs of one element, palindromes: against common stretches by brute force."""
+    rng = random.Random(5)
+    base = [rng.randint(0, 10**9) for _ in range(60)]
+    lists = {"a": base[:40], "b": base[:40], "c": base[10:25], "d": base[5:30][::-1], "e": base[:13] + [7] * 15 + base[40:], "f": [7] * 13, "g": [9] + [7] * 14 + [8] * 13}
+    lists |= {"h": base[3:18] + [1] + base[3:18], "i": [8] * 14 + [5] + [7] * 5, "j": base[40:50] + base[40:50][::-1], "k": base[38:52], "l": base[30:45] + [None] * 12, "m": [None] * 13 + base[40:]}
+    for x in range(8):
+        at = rng.randint(0, 45)
+        lists[f"x{x}"] = (base[at : at + 15] + [3, 4] * rng.randint(0, 8))[:: rng.choice((1, -1))]
+    df = spark.createDataFrame([*lists.items(), *lists.items(), (None, base), ("n", None)], "read_id string, minims array<bigint>").repartition(3)
+    found = spans.fuzzy_passages(df, "read_id", "minims", 4, 12).collect()
+    got, members = defaultdict(list), defaultdict(dict)
+    for r in found:
+        if r.partner is None:
+            members[r.run][r.id] = r.matched
+        else:
+            got[r.id, r.partner].append(r)
+    for x, a in lists.items():
+        for y, b in lists.items():
+            if x == y:
+                continue
+            for back in (False, True):
+                other = b[::-1] if back else b
+                for i in range(len(a)):
+                    for j in range(len(other)):
+                        n = 0
+                        if i == 0 or j == 0 or a[i - 1] != other[j - 1]:
+                            while i + n < len(a) and j + n < len(other) and a[i + n] == other[j + n]:
+                                n += 1
+                        if n < 12:
+                            continue
+                        if len(set(a[i : i + n])) == 1:
+                            assert any(m.get(x, 0) >= n and m.get(y, 0) >= n for m in members.values()), (x, y)
+                            continue
+                        j0 = len(b) - j - n if back else j
+                        assert any(r.back == back and r.i0 <= i and i + n <= r.i1 and r.j0 <= j0 and j0 + n <= r.j1 for r in got[x, y]), (x, y, back, i, j, n)
+    assert got["a", "b"][0].matched == 40 and got["b", "a"][0].matched == 40
+    assert all(r.matched <= min(r.i1 - r.i0, r.j1 - r.j0) for rs in got.values() for r in rs)
+    assert members[7] == {"e": 15, "f": 13, "g": 14} and members[8] == {"g": 13, "i": 14}
+    assert spans.fuzzy_passages(df.limit(0), "read_id", "minims", 4, 12).collect() == []
+
+
 def test_chain_prefers_collinear_blocks():
     i, j, n = np.array([0, 10, 20]), np.array([0, 50, 20]), np.array([5, 5, 5])
     assert spans.chain_blocks(i, j, n, 0.1) == [[0, 2], [1]]
