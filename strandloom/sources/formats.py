@@ -6,7 +6,7 @@ LZ4 frames are read where a decoder can be imported, and refused with a clear er
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.dna import fold, shown
@@ -33,15 +33,29 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.split(head, r"\s").getItem(0).alias("read_id"), body.alias("seq")).where("read_id <> ''")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, n (from 0), line: the lines of text files by number; one file may be read by many tasks.
+
+    Rows of one task keep the order of their block of a file, so a line's number is its place there plus the lines of the blocks before.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    blocks = read.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
+    return read.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("n"), "line")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """read_id, seq of 4-line records.
 
-    A record cannot be told from a line alone, as a quality line may begin like a header; so each file is one row of its
-    4-line groups.  For parallel reading give many files.
+    A record cannot be told from a line alone, as a quality line may begin like a header; so lines are grouped by their numbers.
     """
     if compression(path) == "lz4":
         raise ValueError("unpack LZ4 frames first: Spark's codec reads another framing")
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"), F.input_file_name().alias("file"))
+    lines = numbered_lines(spark, path)
     records = lines.groupBy("file", F.floor(F.col("n") / 4).alias("r")).agg(
         F.max(F.when(F.col("n") % 4 == 0, F.col("line"))).alias("head"), F.max(F.when(F.col("n") % 4 == 1, F.col("line"))).alias("seq")
     )
@@ -161,8 +175,8 @@ def corrected_lines(reads: DataFrame) -> DataFrame:
 
 
 def read_corrected(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, seq, minims, pos of 5-line records; each file is grouped by its line numbers, so give many files for parallel reading."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"), F.input_file_name().alias("file"))
+    """read_id, seq, minims, pos of 5-line records, grouped by the lines' numbers."""
+    lines = numbered_lines(spark, path)
     line = lambda i: F.max(F.when(F.col("n") % 5 == i, F.col("line")))
     rows = lines.groupBy("file", F.floor(F.col("n") / 5).alias("r")).agg(line(0).alias("read_id"), line(1).alias("seq"), line(2).alias("m"), line(4).alias("p"))
     return rows.where("p IS NOT NULL").select("read_id", "seq", F.from_json("m", "array<bigint>").alias("minims"), F.from_json("p", "array<int>").alias("pos"))

@@ -387,6 +387,24 @@ def test_read_files(spark, tmp_path):
     assert rows(formats.read_lmer_list(spark, str(tmp_path / "e.txt"), 3)) == [("ACC",)]
 
 
+def test_large_files_are_read_in_blocks(spark, tmp_path):
+    conf, at, small = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", [(f"r{i}", "ACGT"[i % 4] * (i % 37 + 1)) for i in range(300)]
+    for name, some in (("a.fq", small[:200]), ("b.fq", small[200:])):
+        (tmp_path / name).write_bytes(b"".join(f"@{i} x\r\n{s}\n+\n@{s[1:]}\n".encode() for i, s in some))
+    (tmp_path / "c.txt").write_text("".join(f"{i}\n{s}\n[5, 6]\n[]\n[0, {len(s)}]\n" for i, s in small))
+    old = {x: spark.conf.get(x) for x in (conf, at)}
+    try:
+        spark.conf.set(conf, "700")
+        spark.conf.set(at, "1")
+        lines = formats.numbered_lines(spark, str(tmp_path / "a.fq"))
+        assert lines.rdd.getNumPartitions() > 5 and [r.n for r in lines.sort("n").collect()] == list(range(800))
+        assert rows(formats.read_fastq(spark, str(tmp_path / "*.fq"))) == sorted(small)
+        assert rows(formats.read_corrected(spark, str(tmp_path / "c.txt"))) == sorted((i, s, [5, 6], [0, len(s)]) for i, s in small)
+    finally:
+        for x, y in old.items():
+            spark.conf.set(x, y)
+
+
 def test_graph_files_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([(1, [5, 6], 3, 40, "ACGT", 2, 3)], "node_id bigint, kmer array<bigint>, abundance bigint, seqlen bigint, seq string, shift_l int, shift_r int")
     e = links(spark, [(1, "+", 1, "-", 7)])
