@@ -155,10 +155,10 @@ def _number_circles(circle: DataFrame, step: DataFrame, max_rounds: int) -> Data
 
 def tips(links: DataFrame, paths: DataFrame, sizes: DataFrame, max_nodes: int, max_length: int) -> DataFrame:
     """unitig of every dead end: a path of at most `max_nodes` nodes and `max_length` bases, one end of which has no link while the
-    other joins a branch.  `sizes` is (node_id, seqlen)."""
+    other joins a branch.  `sizes` is (node_id, seqlen); a node of unknown length counts as a node and adds no bases."""
     both = both_sides(links)
-    per = paths.join(sizes, "node_id").groupBy("unitig").agg(
-        F.min(F.struct("ord", "node_id", "o")).alias("first"), F.max(F.struct("ord", "node_id", "o")).alias("last"), F.count("*").alias("n_nodes"), F.sum("seqlen").alias("bases")
+    per = paths.join(sizes.select("node_id", "seqlen"), "node_id", "left").groupBy("unitig").agg(
+        F.min(F.struct("ord", "node_id", "o")).alias("first"), F.max(F.struct("ord", "node_id", "o")).alias("last"), F.count("*").alias("n_nodes"), F.coalesce(F.sum("seqlen"), F.lit(0)).alias("bases")
     )
     outs = both.groupBy(F.col("n1").alias("n"), F.col("o1").alias("o")).agg(F.count("*").alias("outs"))
     first, last = F.col("first"), F.col("last")

@@ -243,6 +243,15 @@ def test_tips_and_bubbles(spark):
     assert not {80, 90} & {n for r in left.collect() for n in (r.n1, r.n2)}
 
 
+def test_tips_with_unknown_lengths(spark):
+    e = links(spark, [(i, "+", i + 1, "+", 1) for i in range(1, 20)] + [(10, "+", 90, "+", 1), (90, "+", 91, "+", 1), (91, "+", 92, "+", 1)])
+    paths = graph.unitigs(e)
+    nodes = spark.createDataFrame([(i, 10) for i in [*range(1, 21), 90, 91]], "node_id bigint, seqlen bigint")  # 92, the dead end, is unknown
+    where = {r.node_id: r.unitig for r in paths.collect()}
+    assert {r.unitig for r in graph.tips(e, paths, nodes, 3, 20).collect()} == {where[92]}
+    assert graph.tips(e, paths, nodes, 2, 20).collect() == []
+
+
 def test_n50(spark):
     df = spark.createDataFrame([(x,) for x in (80, 70, 50, 40, 30, 20, None)], "len bigint")
     assert tuple(graph.n50(df, "len").first()) == (6, 290, 70, 30)
