@@ -20,10 +20,61 @@ class Assembly:
     contigs: DataFrame
 
 
+#: Bases of the graph above which a further series of rounds follows, and above which an aggressive one does; for each round of a
+#: series the factors of tip_length and bubble_length.
+LARGE, HUGE = 1_000_000, 100_000_000
+MORE, AGGRESSIVE = ((1, 1), (2, 10), (3, 10)), ((1, 1), (2, 10), (4, 10))
+
+
+def _bases(links: DataFrame, nodes: DataFrame) -> int:
+    return basespace.unitig_stats(graph.unitigs(links, nodes), nodes).agg(F.sum("bases")).first()[0] or 0
+
+
+def simplified(links: DataFrame, nodes: DataFrame, tip_nodes: int, tip_length: int, bubble_length: int, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Links and nodes after up to `rounds` rounds of clipping dead ends and popping bubbles, then without loops.
+
+    As in the original's script, a graph of over LARGE bases gets a further series of rounds, one of over HUGE bases loses its loops
+    again and gets an aggressive series.  Series end early once nothing goes.
+    """
+
+    def series(links: DataFrame, nodes: DataFrame, factors) -> tuple[DataFrame, DataFrame]:
+        paths, done = None, None
+        for tip, bubble in factors:
+            if paths is None:
+                links = written(links)
+                paths = written(graph.unitigs(links, nodes))
+            elif (tip, bubble) == done:
+                break
+            gone = graph.tips(links, paths, nodes, tip_nodes, tip * tip_length) if tip_length else None
+            if bubble_length:
+                popped = graph.bubbles(links, paths, basespace.unitig_stats(paths, nodes), bubble * bubble_length)
+                gone = popped if gone is None else gone.union(popped)
+            gone = written(gone.distinct())
+            if gone.isEmpty():
+                done = (tip, bubble)
+                continue
+            out = paths.join(gone, "unitig", "left_semi").select("node_id").distinct()
+            links = graph.without_unitigs(links, paths, gone)
+            nodes = written(nodes.join(out, "node_id", "left_anti"))
+            paths = None
+        return links, nodes
+
+    def unlooped(links: DataFrame) -> DataFrame:
+        return written(graph.both_sides(graph.break_loops(links.withColumn("overlap", F.lit(0)))))
+
+    links, nodes = series(links, nodes, ((1, 1),) * rounds)
+    links = unlooped(links)
+    if _bases(links, nodes) > LARGE:
+        links, nodes = series(links, nodes, MORE)
+        if _bases(links, nodes) > HUGE:
+            links, nodes = series(unlooped(links), nodes, AGGRESSIVE)
+    return links, nodes
+
+
 def assemble(reads: DataFrame, p: Params, tip_nodes: int = 10, tip_length: int = 0, bubble_length: int = 0, rounds: int = 1, weighted: bool = False) -> Assembly:
     """Nodes, edges, maximal paths and contigs of reads (read_id, seq).
 
-    With tip_length or bubble_length above 0, `rounds` rounds of clipping and popping come before the final paths.  `weighted` takes
+    With tip_length or bubble_length above 0, the graph is cleaned (`simplified`) before the final paths.  `weighted` takes
     every row as its own read (contigs given twice then count twice); otherwise each read_id counts once.
     """
     if weighted:
@@ -34,31 +85,26 @@ def assemble(reads: DataFrame, p: Params, tip_nodes: int = 10, tip_length: int =
     nodes = written(kminmers.node_ids(kminmers.nodes(lists, p.k, p.min_abundance, p.strict)))
     edges = written(graph.edges(nodes, p.k, p.presimp))
     links = graph.both_sides(edges)
-    for _ in range(rounds if tip_length or bubble_length else 0):
-        links = written(links)
-        paths = written(graph.unitigs(links, nodes))
-        gone = graph.tips(links, paths, nodes, tip_nodes, tip_length)
-        if bubble_length:
-            gone = gone.union(graph.bubbles(links, paths, basespace.unitig_stats(paths, nodes), bubble_length))
-        gone = written(gone.distinct())
-        out = paths.join(gone, "unitig", "left_semi").select("node_id").distinct()
-        links = graph.without_unitigs(links, paths, gone)
-        nodes = written(nodes.join(out, "node_id", "left_anti"))
+    if tip_length or bubble_length:
+        links, nodes = simplified(links, nodes, tip_nodes, tip_length, bubble_length, rounds)
     paths = written(graph.unitigs(links, nodes))
     contigs = basespace.contigs(paths, basespace.node_sequences(nodes, own, p.l))
     return Assembly(nodes, edges, paths, contigs)
 
 
-def multi_k(reads: DataFrame, p: Params, min_contig: int = 100_000, first_k: int = 10, step: int = 5) -> DataFrame:
-    """Contigs of the last of a series of assemblies with rising k: the long contigs of each round, given twice so that their
-    windows count as seen twice, join the reads of the next."""
+def multi_k(
+    reads: DataFrame, p: Params, min_contig: int = 100_000, first_k: int = 10, step: int = 5,
+    tip_nodes: int = 10, tip_length: int = 50_000, bubble_length: int = 100_000, rounds: int = 6,
+) -> DataFrame:
+    """Contigs of the last of a series of assemblies with rising k, each with a cleaned graph: the long contigs of each
+    round, given twice so that their windows count as seen twice, join the reads of the next."""
     mean = sample_lengths(reads, n=10_000).first()["mean_length"] or 0
     last = max(first_k, round(0.95 * mean * p.density))
     own = minspace.reads_once(reads)
     source = own
     contigs = None
     for k in range(first_k, last + 1, step):
-        contigs = written(assemble(source, replace(p, k=k), weighted=True).contigs)
+        contigs = written(assemble(source, replace(p, k=k), tip_nodes, tip_length, bubble_length, rounds, weighted=True).contigs)
         long = contigs.where(F.length("seq") >= min_contig)
         copies = [long.select(F.concat(F.lit(f"k{k}.{i}."), "name").alias("read_id"), "seq") for i in (1, 2)]
         source = copies[0].unionByName(copies[1]).unionByName(own)

@@ -14,6 +14,8 @@ from strandloom.session import saved, table
 
 K = 5
 DENSITY = Params(k=K, l=12, density=0.05)
+#: Limits of graph cleaning: nodes and bases of a dead end, bases of a bubble's side.
+TIP_NODES, TIP_LENGTH, BUBBLE_LENGTH = 10, 5_000, 5_000
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +160,8 @@ def corrected_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assembled_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assembly of the reads: length, nodes and abundance of each contig."""
-    done = pipeline.assemble(table(spark, sf_dir, "reads"), DENSITY)
+    """Assembly of the reads, the graph cleaned: length, nodes and abundance of each contig."""
+    done = pipeline.assemble(table(spark, sf_dir, "reads"), DENSITY, TIP_NODES, TIP_LENGTH, BUBBLE_LENGTH, rounds=6)
     return done.contigs.select("name", F.length("seq").alias("bases"), "n_nodes", "mean_abundance")
 
 

@@ -285,6 +285,22 @@ def test_multi_k(spark):
     assert max(map(len, seqs)) > 3900 and all(any(s in g for g in both) for s in seqs)
 
 
+def test_assembly_cleans_tips_and_bubbles(spark):
+    genome = dna_text(6000, 8)
+    flip = lambda s, x: s[:x] + "".join("ACGT"[("ACGT".index(c) + 1) % 4] for c in s[x : x + 60]) + s[x + 60 :]
+    end = lambda s: s[:700] + dna_text(300, 9)
+    data = [(f"{a}.{x}", genome[a : a + 1000]) for a in range(0, 5001, 250) for x in range(4)]
+    data += [(f"bubble{x}", flip(genome[1500:2500], 500)) for x in "ab"] + [(f"tip{x}", end(genome[3500:4500])) for x in "ab"]
+    df = spark.createDataFrame(data, "read_id string, seq string")
+    p = Params(k=5, l=12, density=0.05, hpc=False)
+    both = (genome, genome[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    raw = [r.seq for r in pipeline.assemble(df, p).contigs.collect()]
+    assert len(raw) > 3 and max(map(len, raw)) < 4000
+    limits = {"tip_nodes": 60, "tip_length": 5000, "bubble_length": 1500, "rounds": 3}
+    found = [r.seq for r in pipeline.multi_k(df, p, first_k=5, step=100, **limits).collect()]
+    assert len(found) == 1 and len(found[0]) > 5500 and any(found[0] in g for g in both)
+
+
 def test_overlap_repair(spark):
     e = links(spark, [(1, "+", 2, "+", 50), (1, "+", 2, "-", 10), (1, "+", 9, "+", 1), (1, "+", 2, "+", None)])
     sizes = spark.createDataFrame([(1, 40), (2, 30)], "node_id bigint, seqlen bigint")
