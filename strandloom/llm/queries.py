@@ -15,17 +15,24 @@ READ_ONCE = """once AS (SELECT read_id, any_value(minims) AS minims, any_value(p
 # -- 2: repeated consecutive events -------------------------------------------------------------------------------------------
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of at least 9 bases of every read, single other letters bridged."""
+    """Runs of at least 9 bases of every read, single unclear letters bridged."""
     found = runs.collapse_runs(table(spark, sf_dir, "reads"), "read_id", "seq", min_events=9, max_gap=1)
     return found.select(F.col("id").alias("read_id"), "run_start", F.col("n_events").alias("n_bases"), "run_span")
 
 
+def p2_blurred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 9 bases over gaps of up to 4 unclear letters, as long as nine tenths of a run's span are its base: the purest
+    neighbours merge first."""
+    found = runs.collapse_runs(table(spark, sf_dir, "reads"), "read_id", "seq", min_events=9, max_gap=4, min_similarity=0.9)
+    return found.select(F.col("id").alias("read_id"), F.col("event").alias("base"), "run_start", F.col("n_events").alias("n_bases"), "run_span")
+
+
 P2_SQL = """WITH r AS (SELECT read_id, any_value(s) AS s FROM (
   SELECT read_id, replace(upper(regexp_replace(seq, '[ \\t\\n\\r\\v\\f]', '', 'g')), 'U', 'T') AS s FROM reads WHERE read_id IS NOT NULL AND seq IS NOT NULL)
   WHERE s NOT IN ('', '*') GROUP BY read_id),
 c AS (SELECT read_id, i, substr(s, i + 1, 1) AS b FROM (SELECT read_id, s, unnest(range(length(s))) AS i FROM r)),
-g AS (SELECT *, CASE WHEN i - lag(i) OVER w <= 2 THEN 0 ELSE 1 END AS cut FROM c WHERE b IN ('A', 'C', 'G', 'T') WINDOW w AS (PARTITION BY read_id, b ORDER BY i)),
-n AS (SELECT *, sum(cut) OVER (PARTITION BY read_id, b ORDER BY i) AS run FROM g)
+g AS (SELECT *, CASE WHEN b = lag(b) OVER w AND i - lag(i) OVER w <= 2 THEN 0 ELSE 1 END AS cut FROM c WHERE b IN ('A', 'C', 'G', 'T') WINDOW w AS (PARTITION BY read_id ORDER BY i)),
+n AS (SELECT *, sum(cut) OVER (PARTITION BY read_id ORDER BY i) AS run FROM g)
 SELECT read_id, CAST(min(i) AS INTEGER) AS run_start, CAST(count(*) AS INTEGER) AS n_bases, CAST(max(i) - min(i) + 1 AS INTEGER) AS run_span
 FROM n GROUP BY read_id, b, run HAVING count(*) >= 9"""
 
@@ -157,6 +164,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_blurred": p2_blurred,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
     "p4_found": p4_found,

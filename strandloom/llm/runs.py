@@ -1,12 +1,13 @@
 """Runs of equal events collapsed into one event each, clean or blurred.
 
 Every sequence is an entity; its events are letters.  Exact runs come first (their similarity is 1 and nothing lies between
-their events).  Then runs of the same event are neighbours in a linked list, and a priority queue merges the most similar
-neighbours, whose gap is short enough, until none meets the limits.  Chains that could never reach the wanted number of
-events are left out of the queue; this changes no reported run.
+their events).  The runs of a sequence form a linked list; two neighbours of the same event may merge if only a short gap of letters
+that are no events (unclear ones) parts them.  A priority queue merges the most similar neighbours until none meets the limits of
+gap and similarity.  Chains that could never reach the wanted number of events are left out of the queue; this changes no
+reported run.
 
 Null, empty and placeholder sequences have no runs; white space inside a sequence is no event and no position; letters other
-than the wanted events only ever lie inside gaps.
+than the wanted events only ever lie inside gaps, and an event never bridges a run of another.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def letter_codes(events: str, same: dict[str, str]) -> np.ndarray:
 
 
 def agglomerate(start: list[int], end: list[int], max_gap: int, min_similarity: float) -> list[tuple[int, int, int]]:
-    """Merges neighbouring runs [start, end) of one event; gives (start, events, span) of what remains.
+    """Merges neighbouring runs [start, end) of one event with nothing but unclear letters between them; gives (start, events, span) of what remains.
 
     The similarity of two neighbours is the share of their event in their common span; ties go to the left.
     """
@@ -79,32 +80,29 @@ def block_runs(codes: np.ndarray, at: np.ndarray, n_events: int, min_events: int
     edge[0] = True
     np.not_equal(codes[1:], codes[:-1], out=edge[1:])
     edge[at[:-1][at[:-1] < n]] = True
-    rs = np.flatnonzero(edge)
-    rend = np.append(rs[1:], n)
-    rc = codes[rs]
-    out = []
-    for event in range(n_events):
-        own = np.flatnonzero(rc == event)
-        if not len(own):
-            continue
-        s, e = rs[own], rend[own]
-        doc = np.searchsorted(at, s, side="right") - 1
-        linked = (doc[1:] == doc[:-1]) & (s[1:] - e[:-1] <= max_gap)
-        first = np.flatnonzero(np.append(True, ~linked))
-        total = np.add.reduceat(e - s, first)
-        size = np.diff(np.append(first, len(s)))
-        able = total >= min_events
-        one = first[able & (size == 1)]
-        found = [(doc[one], s[one], e[one] - s[one], e[one] - s[one])]
-        more = []
-        for a, k in zip(first[able & (size > 1)].tolist(), size[able & (size > 1)].tolist()):
-            merged = agglomerate(s[a : a + k].tolist(), e[a : a + k].tolist(), max_gap, min_similarity)
-            more += [(doc[a], *m) for m in merged if m[1] >= min_events]
-        if more:
-            found.append(tuple(np.array(more, dtype=np.int64).T))
-        d, b, c, w = (np.concatenate(x) for x in zip(*found))
-        out.append(np.stack([d, b - at[d], c, w, np.full(len(d), event)], axis=1))
-    return np.concatenate(out) if out else np.empty((0, 5), dtype=np.int64)
+    start = np.flatnonzero(edge)
+    end = np.append(start[1:], n)
+    own = codes[start] < n_events
+    start, end = start[own], end[own]
+    if not len(start):
+        return np.empty((0, 5), dtype=np.int64)
+    event = codes[start]
+    doc = np.searchsorted(at, start, side="right") - 1
+    linked = (doc[1:] == doc[:-1]) & (event[1:] == event[:-1]) & (start[1:] - end[:-1] <= max_gap)
+    first = np.flatnonzero(np.append(True, ~linked))
+    size = np.diff(np.append(first, len(start)))
+    able = np.add.reduceat(end - start, first) >= min_events
+    one = first[able & (size == 1)]
+    found = [np.stack([doc[one], start[one], end[one] - start[one], end[one] - start[one], event[one]], axis=1)]
+    more = []
+    for a, k in zip(first[able & (size > 1)].tolist(), size[able & (size > 1)].tolist()):
+        merged = agglomerate(start[a : a + k].tolist(), end[a : a + k].tolist(), max_gap, min_similarity)
+        more += [(doc[a], *m, event[a]) for m in merged if m[1] >= min_events]
+    if more:
+        found.append(np.array(more, dtype=np.int64))
+    out = np.concatenate(found).astype(np.int64)
+    out[:, 1] -= at[out[:, 0]]
+    return out
 
 
 def _kernel(events: str, same: dict[str, str], min_events: int, max_gap: int, min_similarity: float):

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on small tables with nulls, empty and long values, ties and repeated rows."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -20,28 +21,37 @@ def rows(df):
 
 def brute_runs(seq, least, gap):
     s = "".join(seq.split()).upper().replace("U", "T")
-    out = []
-    for b in "ACGT":
-        at = [i for i, c in enumerate(s) if c == b]
-        i = 0
-        while i < len(at):
-            j = i
-            while j + 1 < len(at) and at[j + 1] - at[j] <= gap + 1:
-                j += 1
-            if j - i + 1 >= least:
-                out.append((at[i], j - i + 1, at[j] - at[i] + 1))
-            i = j + 1
-    return out
-
-
-def test_runs_match_brute_force(spark):
+    found = (m for b in "ACGT" for m in re.finditer(f"{b}+(?:[^ACGT]{{1,{gap}}}{b}+)*", s))
+    return [(m.start(), m.group().count(m.group()[0]), len(m.group())) for m in found if m.group().count(m.group()[0]) >= least]
+
+
+def brute_agglomeration(seq, least, gap, similarity):
+    """Merges the best pair of neighbours of the whole sequence, one by one."""
+    s = "".join(seq.split()).upper().replace("U", "T")
+    have = [[m.start(), m.end(), m.end() - m.start(), m.group()[0]] for m in re.finditer("A+|C+|G+|T+", s)]
+    while True:
+        best = None
+        for i, (a, b) in enumerate(zip(have, have[1:])):
+            share = (a[2] + b[2]) / (b[1] - a[0])
+            if a[3] == b[3] and b[0] - a[1] <= gap and share >= similarity and (best is None or share > best[0]):
+                best = share, i
+        if best is None:
+            return sorted((a, n, z - a) for a, z, n, _ in have if n >= least)
+        a, b = have[best[1]], have.pop(best[1] + 1)
+        a[1], a[2] = b[1], a[2] + b[2]
+
+
+@pytest.mark.parametrize("gap, similarity", [(1, 0.5), (3, 0.8), (4, 0.9)])
+def test_runs_match_brute_force(spark, gap, similarity):
     data = [(None, "AAAAAAAAAA", 1), ("e", "", 1), ("n", None, 1), ("star", "*", 1), ("blank", " \n ", 1), ("u", "uuuUUTTTTNTT", 2), ("alt", "ATATATATATATATATAT", 3), ("é", "AAAAéAAAAA-A", 4)]
-    data += [(f"r{i}", "".join(RNG.choice("AACGTn\n") for _ in range(RNG.randint(1, 400))), i) for i in range(60)]
+    data += [("pure", "AAAAGAAAA", 1), ("near", "AANNNAAAANAAAAAAANNAAANA", 1)]
+    data += [(f"r{i}", "".join(RNG.choice("AACNN\nG" if i % 2 else "AACGTn\n") for _ in range(RNG.randint(1, 400))), i) for i in range(60)]
     data += [("long", "ACGT" * 5000 + "A" * 5000, 0)]
     data += data[:20]  # delivered again
     df = spark.createDataFrame(data, "read_id string, seq string, run_start int").repartition(5)
-    want = sorted({(i, *r) for i, s, _ in data if i is not None and s for r in brute_runs(s, 4, 1)})
-    got = rows(runs.collapse_runs(df, "read_id", "seq", 4, 1).select("id", "run_start", "n_events", "run_span"))
+    brute = (lambda s: brute_runs(s, 4, gap)) if similarity == 0.5 else (lambda s: brute_agglomeration(s, 4, gap, similarity))
+    want = sorted({(i, *r) for i, s, _ in data if i is not None and s for r in brute(s)})
+    got = rows(runs.collapse_runs(df, "read_id", "seq", 4, gap, similarity).select("id", "run_start", "n_events", "run_span"))
     assert got == want
 
 
