@@ -1,8 +1,7 @@
-"""Byte-level BPE over blocks of a corpus: array pre-tokenisation and corpus-level merge replay.
+"""Byte-level BPE: array pre-tokenisation and merge replay over sets of distinct words.
 
-A Spark task hands over its documents block by block.  A block is cut into words with array operations, only words that the
-task has not met before are encoded, and those are encoded together: an inverted index from token pair to word positions is
-walked in rank order, so each merge touches exactly the places where its pair occurs.
+Words are merged together, not one by one: an inverted index from token pair to word positions is walked in rank order, so each
+merge touches exactly the places where its pair occurs and their neighbours.  `encode` brings the distinct words of the corpus here.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections import defaultdict
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -17,11 +17,6 @@ import numpy as np
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Bytes of text that one pass of the array code takes at most (a single longer text is its own pass).
 BLOCK_BYTES = 4 << 20
-#: Words up to so many bytes are merged in waves, longer ones through the heap.
-WAVE_BYTES = 48
-NO_RANK = 1 << 40
-#: Words that a worker remembers before it starts over; bounds memory, not the result.
-WORD_MEMORY = 1 << 20
 
 
 def char_classes() -> np.ndarray:
@@ -51,71 +46,8 @@ class Merges:
             a, b = m if isinstance(m, list) else m.split(" ")
             self.rank.setdefault((vocab[a], vocab[b]), (r, vocab[a + b]))
 
-        keys = np.array([a << 20 | b for a, b in self.rank], dtype=np.int64)
-        made = np.array([*self.rank.values()], dtype=np.int64).reshape(-1, 2)
-        order = np.argsort(keys)
-        self.pair_key = np.append(keys[order], np.int64(1) << 62)
-        self.pair_rank, self.pair_made = np.append(made[order], [[NO_RANK, -1]], axis=0).T
-
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word: all merges in rank order over all words at once."""
-        out: list = [None] * len(words)
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        for at, run in ((np.flatnonzero(size <= WAVE_BYTES), self.replay_waves), (np.flatnonzero(size > WAVE_BYTES), self.replay_index)):
-            if len(at):
-                for i, ids in zip(at.tolist(), run([words[i] for i in at.tolist()])):
-                    out[i] = ids
-        return out
-
-    def look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Row of the pair tables for each pair; the last row if the pair never merges."""
-        key = a << 20 | b
-        at = np.searchsorted(self.pair_key, key)
-        return np.where(self.pair_key[at] == key, at, len(self.pair_key) - 1)
-
-    def replay_waves(self, words: list[bytes]) -> list[list[int]]:
-        """Many short words: `live` indexes the places that hold a pair; words do not interact, so a wave may apply the lowest
-        ranked pair of every word at once and then re-rank only the neighbours of the places it merged."""
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        sym = self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        n = len(sym)
-        word = np.repeat(np.arange(len(words)), size)
-        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
-        ends = np.cumsum(size)
-        right[ends - 1], left[ends - size] = -1, -1
-        pair = np.full(n, len(self.pair_key) - 1)
-        live = np.flatnonzero(right >= 0)
-        pair[live] = self.look_up(sym[live], sym[live + 1])
-        while True:
-            live = live[self.pair_rank[pair[live]] < NO_RANK]
-            if not len(live):
-                break
-            rank, of = self.pair_rank[pair[live]], word[live]
-            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            lowest = np.minimum.reduceat(rank, first)
-            # the leftmost lowest pair of each word
-            cand = np.flatnonzero(rank == np.repeat(lowest, np.diff(np.append(first, len(live)))))
-            i = live[cand[np.append(True, of[cand][1:] != of[cand][:-1])]]
-            j = right[i]
-            sym[i], sym[j] = self.pair_made[pair[i]], -1
-            pair[j] = len(self.pair_key) - 1
-            k = right[i] = right[j]
-            some = k >= 0
-            left[k[some]] = i[some]
-            pair[i[~some]] = len(self.pair_key) - 1
-            pair[i[some]] = self.look_up(sym[i[some]], sym[k[some]])
-            h = left[i]
-            i, h = i[h >= 0], h[h >= 0]
-            pair[h] = self.look_up(sym[h], sym[i])
-            live = np.sort(np.concatenate([live, h]))
-            live = live[np.append(True, live[1:] != live[:-1])]
-        kept = sym >= 0
-        count = np.bincount(word[kept], minlength=len(words))
-        flat, at = sym[kept].tolist(), np.concatenate([[0], np.cumsum(count)]).tolist()
-        return [flat[a:b] for a, b in zip(at, at[1:])]
-
-    def replay_index(self, words: list[bytes]) -> list[list[int]]:
-        """Long words: an inverted index from pair to positions, walked by rank with a heap."""
         rank = self.rank
         sym: list[int] = []
         right: list[int] = []
@@ -229,87 +161,58 @@ def word_starts(buf: np.ndarray, doc_at: np.ndarray, classes: np.ndarray) -> np.
     return np.flatnonzero(start)
 
 
-class Encoder:
-    """Encodes blocks of documents, remembering the words it has met."""
+@dataclass(frozen=True)
+class Words:
+    """The words of a buffer: those of up to 7 bytes as numbers (bytes, and the length in the highest byte), longer ones as bytes."""
+
+    n: int
+    short: np.ndarray
+    key: np.ndarray
+    long: np.ndarray
+    piece: list[bytes]
+
+    def distinct(self) -> list[bytes]:
+        keys = np.unique(self.key)
+        raw, size = keys.astype("<u8").tobytes(), (keys >> np.uint64(56)).tolist()
+        return [raw[8 * i : 8 * i + m] for i, m in enumerate(size)] + list(dict.fromkeys(self.piece))
+
+    def numbers(self, known: list[bytes]) -> np.ndarray:
+        """The place of each word, in order, in the list `known`, which holds them all."""
+        out = np.empty(self.n, dtype=np.int64)
+        few = np.array([i for i, w in enumerate(known) if len(w) < 8], dtype=np.int64)
+        if len(self.short):
+            keys = np.array([int.from_bytes(known[i], "little") | len(known[i]) << 56 for i in few.tolist()], dtype=np.uint64)
+            order = np.argsort(keys)
+            out[self.short] = few[order[np.searchsorted(keys[order], self.key)]]
+        if self.piece:
+            place = {w: i for i, w in enumerate(known) if len(w) >= 8}
+            out[self.long] = [place[w] for w in self.piece]
+        return out
 
-    SLOTS = 1 << 20
 
-    def __init__(self, path: str):
-        self.merges = Merges(path)
-        self.classes = char_classes()
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot_key = np.zeros(self.SLOTS, dtype=np.uint64)
-        self.slot_word = np.zeros(self.SLOTS, dtype=np.int64)
-        self.known: dict[bytes, int] = {}
-        self.offset = np.zeros(1, dtype=np.int64)
-        self.ids = np.empty(0, dtype=np.int32)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Adds new distinct words."""
-        base = len(self.known)
-        made = self.merges.replay(words)
-        self.known.update((w, base + i) for i, w in enumerate(words))
-        size = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter((x for w in made for x in w), dtype=np.int32, count=int(size.sum()))])
-
-    def words(self, buf: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Number of the known word of each piece of `buf` that begins at `start`."""
-        if len(self.known) > WORD_MEMORY:
-            self.clear()
-        n = len(buf)
-        size = np.diff(np.append(start, n))
-        word = np.full(len(start), -1, dtype=np.int64)
-        padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
-        eight = np.ndarray(shape=(n,), dtype="<u8", buffer=padded.data, strides=(1,))
-        short = np.flatnonzero(size < 8)
-        length = size[short].astype(np.uint64)
-        key = eight[start[short]] & ((np.uint64(1) << (length * np.uint64(8))) - np.uint64(1)) | length << np.uint64(56)
-        slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        hit = self.slot_key[slot] == key
-        word[short[hit]] = self.slot_word[slot[hit]]
-        raw = buf.tobytes()
-        known = self.known
-        if not hit.all():
-            miss, back = np.unique(key[~hit], return_inverse=True)
-            piece = [int(k).to_bytes(8, "little")[: int(k) >> 56] for k in miss]
-            self.learn([p for p in piece if p not in known])
-            found = np.array([known[p] for p in piece], dtype=np.int64)
-            word[short[~hit]] = found[back]
-            at = (miss * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-            self.slot_key[at], self.slot_word[at] = miss, found
-        long = np.flatnonzero(size >= 8)
-        if len(long):
-            a = start[long]
-            piece = [raw[i:j] for i, j in zip(a.tolist(), (a + size[long]).tolist())]
-            new = [p for p in dict.fromkeys(piece) if p not in known]
-            if new:
-                self.learn(new)
-            word[long] = [known[p] for p in piece]
-        return word
-
-    def encode(self, buf: np.ndarray, at: np.ndarray, counts_only: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Offsets and ids of the documents buf[at[i]:at[i+1]]; without ids if only counts are wanted."""
-        if len(buf) == 0:
-            return np.zeros(len(at), dtype=np.int64), np.empty(0, dtype=np.int32)
-        doc_at = np.unique(at[:-1][at[:-1] < len(buf)])
-        start = word_starts(buf, doc_at, self.classes)
-        word = self.words(buf, start)
-        size = self.offset[word + 1] - self.offset[word]
-        total = np.concatenate([[0], np.cumsum(size)])
-        offsets = total[np.searchsorted(start, at)]
-        if counts_only:
-            return offsets, None
-        src = np.repeat(self.offset[word] - total[:-1], size) + np.arange(total[-1])
-        return offsets, self.ids[src]
+def cut(buf: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, Words]:
+    """Starts and words of the documents buf[at[i]:at[i+1]]; the buffer must not be empty."""
+    n = len(buf)
+    start = word_starts(buf, np.unique(at[:-1][at[:-1] < n]), classes)
+    size = np.diff(np.append(start, n))
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(shape=(n,), dtype="<u8", buffer=padded.data, strides=(1,))
+    short, long = np.flatnonzero(size < 8), np.flatnonzero(size >= 8)
+    length = size[short].astype(np.uint64)
+    key = eight[start[short]] & ((np.uint64(1) << (length * np.uint64(8))) - np.uint64(1)) | length << np.uint64(56)
+    raw, a = buf.tobytes(), start[long]
+    return start, Words(len(start), short, key, long, [raw[i:j] for i, j in zip(a.tolist(), (a + size[long]).tolist())])
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker."""
-    return Encoder(path)
+def merges(path: str) -> Merges:
+    """The merges of this Python worker."""
+    return Merges(path)
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    return char_classes()
 
 
 def blocks(at: np.ndarray, most: int = BLOCK_BYTES):

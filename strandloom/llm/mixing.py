@@ -61,8 +61,8 @@ def memberships(documents: DataFrame, targets: Targets, vocabulary: str = VOCABU
     names = targets.names
     if not names:
         none = F.lit(None).cast("string"), F.array().cast("array<double>")
-        return count_tokens(documents, "text", ["doc_id"], vocabulary).select("doc_id", none[0].alias("domain"), "n_tokens", none[1].alias("p"))
-    slim = saved(count_tokens(documents, "text", ["doc_id", "source", "repo", "lang"], vocabulary).withColumn("domain", known_source(names)))
+        return count_tokens(documents, "doc_id", "text", ["doc_id"], vocabulary).select("doc_id", none[0].alias("domain"), "n_tokens", none[1].alias("p"))
+    slim = saved(count_tokens(documents, "doc_id", "text", ["doc_id", "source", "repo", "lang"], vocabulary).withColumn("domain", known_source(names)))
     named, rest = slim.where(F.col("domain").isNotNull()), slim.where(F.col("domain").isNull())
     counts = lambda df, *by: df.groupBy(*by).agg(*[F.count_if(F.col("domain") == x).cast("double").alias(f"n{i}") for i, x in enumerate(names)])
     vector = lambda: F.array(*[F.col(f"n{i}") for i in range(len(names))])

@@ -317,6 +317,6 @@ def test_encoding_equals_the_library(spark):
     assert got[-1] == [] and got[0] == []
     for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False)):
         assert got[i] == e.ids, texts[i]
-    counts = {r.doc_id: r.n_tokens for r in encode.count_tokens(df, "text", ["doc_id"]).collect()}
+    counts = {r.doc_id: r.n_tokens for r in encode.count_tokens(df, "doc_id", "text", ["doc_id"]).collect()}
     assert counts == {i: len(x) for i, x in got.items()}
     assert rows(encode.encode_texts(df.limit(0), "doc_id", "text")) == []
