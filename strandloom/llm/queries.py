@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import encode, heavy, mixing, runs, seen, spans, subjects, terms
-from strandloom.session import table
+from strandloom.session import saved, table
 
 READ_ONCE = """once AS (SELECT read_id, any_value(minims) AS minims, any_value(pos) AS pos FROM minspace
   WHERE read_id IS NOT NULL AND minims IS NOT NULL GROUP BY read_id)"""
@@ -197,7 +197,7 @@ CAST(0 AS DOUBLE) AS wrong_rate FROM r GROUP BY kind""",
 
 def chosen_mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, mixing.Targets]:
     targets = mixing.read_targets(table(spark, sf_dir, "mix_targets"))
-    return mixing.choose(mixing.memberships(table(spark, sf_dir, "documents"), targets), targets), targets
+    return mixing.choose(saved(mixing.memberships(table(spark, sf_dir, "documents"), targets)), targets), targets
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
