@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import saved
 from strandloom.session import tasks as session_tasks
 
 #: Hash buckets that stand for the light keys.
@@ -124,7 +125,8 @@ def plan_placement(df: DataFrame, keys: list[str], weight: str | None = None, ta
     tasks = tasks or session_tasks(spark)
     room = max(256, int(4 * tasks / HEAVY_SHARE))
     load = F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0)).cast("bigint") if weight else F.lit(1).cast("bigint")
-    found = (
+    # saved, as `df` may be dear to read again for the second look
+    found = saved(
         df.select(key_hash(keys).alias("k"), load.alias("w"))
         .mapInArrow(_summaries(room), "is_key boolean, id bigint, load bigint")
         .groupBy("is_key", "id")
