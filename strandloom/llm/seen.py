@@ -12,9 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from strandloom.session import saved, shared_dir
+from strandloom.session import shared_dir
 
 #: How many deliveries a table is cut into.
 DELIVERIES = 4
@@ -60,15 +60,16 @@ def decide(records: DataFrame, deliveries: int = DELIVERIES) -> DataFrame:
     for r in bounds:
         for b in r.b:
             part = part + F.when((F.col("kind") == r.kind) & (F.col("no") > b), 1).otherwise(0)
-    cut = saved(records.withColumn("delivery", part))
+    records.withColumn("delivery", part).write.partitionBy("delivery").parquet(f"{base}/records")
+    kinds = StructType([*records.schema.fields, StructField("delivery", IntegerType())])
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
         for d in range(deliveries):
-            now = cut.where(F.col("delivery") == d)
+            now = spark.read.schema(kinds).parquet(f"{base}/records").where(F.col("delivery") == d)  # only this delivery's files are read
             now.write.mode("append").parquet(f"{base}/incoming")
-            stream = spark.readStream.schema(cut.schema).parquet(f"{base}/incoming")
+            stream = spark.readStream.schema(kinds).parquet(f"{base}/incoming")
             firsts = stream.groupBy("kind", "k1", "k2").agg(F.min("no").alias("no"), F.min("delivery").alias("born"))
 
             def write(batch: DataFrame, number: int, now: DataFrame = now, d: int = d) -> None:
