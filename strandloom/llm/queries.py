@@ -213,11 +213,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- 9: subject areas ---------------------------------------------------------------------------------------------------------
 
-SOURCES = ["course_dump", "forge_main", "handover_disks", "lab_tarballs", "mirror_west", "package_index", "paste_archive"]
-
-
 def subjects_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subjects.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "subject_labels"), SOURCES)
+    return subjects.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "subject_labels"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

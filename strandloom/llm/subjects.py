@@ -28,8 +28,8 @@ from strandloom.session import saved
 
 #: Labelled documents that training uses at most.
 MAX_LABELLED = 20_000
-#: Terms that the lexicon keeps at most, by evidence.
-MAX_TERMS = 20_000
+#: Labelled documents that hold a term, and share of them of one subject, from which it enters the lexicon; so the lexicon is bounded by the
+#: words of MAX_LABELLED documents.
 MIN_DOCS, MIN_SHARE = 4, 0.7
 BEAM = 6
 #: Own features of a subject, structure features.
@@ -72,13 +72,12 @@ def _count_terms(subjects: list[str]):
 
 
 def learn_lexicon(labelled: DataFrame, subjects: list[str]) -> dict[str, int]:
-    """term -> subject number, from (text, labels); at most MAX_TERMS terms reach the driver."""
+    """term -> subject number, from (text, labels); its size is bounded by the sample's words."""
     counts = labelled.select("text", "labels").mapInArrow(_count_terms(subjects), "term string, subject int, n bigint").groupBy("term", "subject").agg(F.sum("n").alias("n"))
     docs = counts.where("subject = -1").select("term", F.col("n").alias("docs"))
     best = counts.where("subject >= 0").groupBy("term").agg(F.max(F.struct("n", -F.col("subject"))).alias("b"))
     kept = best.join(docs, "term").where((F.col("docs") >= MIN_DOCS) & (F.col("b.n") >= MIN_SHARE * F.col("docs")))
-    rows = kept.orderBy(F.desc("b.n"), "term").limit(MAX_TERMS).select("term", -F.col("b.col2"))
-    return {r[0]: r[1] for r in rows.collect()}
+    return {r[0]: r[1] for r in kept.select("term", -F.col("b.col2")).collect()}
 
 
 class Scanner:
@@ -218,10 +217,17 @@ def one_hot(values: list[str | None], names: list[str]) -> np.ndarray:
     return out
 
 
-def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sources: list[str], max_labelled: int = MAX_LABELLED) -> DataFrame:
+def frequent(values: list[str | None], least: int = MIN_DOCS) -> list[str]:
+    """Values, in lower case and without outer blanks, that occur at least so often."""
+    n = Counter(v.strip().lower() for v in values if v and v.strip())
+    return sorted(v for v, c in n.items() if c >= least)
+
+
+def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, subjects array<string> of every document, an empty list where it has none.
 
-    documents(doc_id, text, source, ...), subjects(subject, ...) (a fixed list), labels(doc_id, subject).
+    documents(doc_id, text, source, ...), subjects(subject, ...) (a fixed list), labels(doc_id, subject).  Sources that the labelled
+    sample names at least MIN_DOCS times are features.
     """
     names = sorted(r[0] for r in subjects.select("subject").where(F.col("subject").isNotNull()).distinct().collect())
     own = labels.where(F.col("doc_id").isNotNull() & F.col("subject").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
@@ -239,7 +245,7 @@ def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sourc
 
     fitted = labelled.select("doc_id", "text", "source", "labels").mapInArrow(measure, f"doc_id {kind}, x array<double>, source string, labels array<string>")
     rows = fitted.toArrow().sort_by("doc_id")  # at most max_labelled rows
-    chain = None
+    chain, sources = None, frequent(rows["source"].to_pylist())
     if rows.num_rows and lexicon:
         x = np.stack(rows["x"].to_numpy())
         y = np.array([[s in set(got) for s in names] for got in rows["labels"].to_pylist()], dtype=float)

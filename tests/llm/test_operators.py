@@ -299,7 +299,7 @@ def test_subjects_held_out(spark):
     labels += labels[:40]
     out = subjects.classify(
         spark.createDataFrame(docs, "doc_id bigint, text string, source string, labels int"), spark.createDataFrame([(s, "") for s in WORDS] + [(None, "")], "subject string, about string"),
-        spark.createDataFrame(labels, "doc_id bigint, subject string"), ["a"],
+        spark.createDataFrame(labels, "doc_id bigint, subject string"),
     )
     got = {r.doc_id: set(r.subjects) for r in out.collect()}
     assert len(got) == 503 and got[900] == got[901] == set() and got[None] == {"law"}
@@ -310,7 +310,7 @@ def test_subjects_held_out(spark):
 def test_subjects_without_labels(spark):
     docs = spark.createDataFrame([(1, "goal goal", "a")], "doc_id bigint, text string, source string")
     names = spark.createDataFrame([("sport",)], "subject string")
-    assert [r.subjects for r in subjects.classify(docs, names, spark.createDataFrame([], "doc_id bigint, subject string"), []).collect()] == [[]]
+    assert [r.subjects for r in subjects.classify(docs, names, spark.createDataFrame([], "doc_id bigint, subject string")).collect()] == [[]]
 
 
 # -- encoding -----------------------------------------------------------------------------------------------------------------
