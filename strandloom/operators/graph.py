@@ -13,35 +13,76 @@ from strandloom.functions.dna import canonical, without_first, without_last
 from strandloom.session import written
 
 
+def _side(name: str, part: Column) -> list[Column]:
+    """128 bits of a (k-1)-mer's canonical form, whether it is reversed in it, and whether it is a palindrome."""
+    c = canonical(part)
+    return [
+        F.xxhash64(c).alias(f"{name}a"), F.xxhash64(F.lit(0x5EED), c).alias(f"{name}b"),
+        (part != c).alias(f"{name}r"), (part == F.reverse(part)).alias(f"{name}p"),
+    ]
+
+
 def edges(nodes: DataFrame, k: int, presimp: float = 0.0) -> DataFrame:
     """n1, o1, n2, o2, overlap from nodes (node_id, kmer, abundance, seqlen, shift_l, shift_r).
 
     Each node offers and looks up its two canonical (k-1)-mers; a node whose two keys agree is found and looks up twice, as in the
     original bag semantics.  With presimp > 0 candidates far below the abundance around their key are dropped, and
     with them the same pair of nodes in either direction.
+
+    Nodes meet by 128 bits of their (k-1)-mers, so no lists travel.  Rows are all links; a (k-1)-mer of very many nodes makes a link for
+    each matching pair.  `overlap_members` gives the same links as classes, one row a node and key.
     """
     pre, suf = without_last(F.col("kmer"), k), without_first(F.col("kmer"), k)
-    keyed = nodes.select("node_id", "kmer", "abundance", "seqlen", "shift_l", "shift_r", F.posexplode(F.array(canonical(suf), canonical(pre))).alias("slot", "key"))
-    one = keyed.select(*[F.col(c).alias(f"{c}_1") for c in ("node_id", "kmer", "abundance", "seqlen", "shift_l", "shift_r")], "slot", "key")
-    two = keyed.select(*[F.col(c).alias(f"{c}_2") for c in ("node_id", "kmer", "abundance", "seqlen")], "key")
-    out = lambda c: (without_first(c, k), without_first(F.reverse(c), k))
-    into = lambda c: (without_last(c, k), without_last(F.reverse(c), k))
-    (p1, m1), (p2, m2) = out(F.col("kmer_1")), into(F.col("kmer_2"))
-    kinds = [F.when(a == b, F.struct(F.lit(x).alias("o1"), F.lit(y).alias("o2"))) for a, x in ((p1, "+"), (m1, "-")) for b, y in ((p2, "+"), (m2, "-"))]
-    cand = one.join(two, "key").select("*", F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("o"))
-    shift = F.when(F.col("o.o1") == "+", F.col("shift_l_1")).otherwise(F.col("shift_r_1"))
-    cand = cand.select(
-        F.col("node_id_1").alias("n1"), F.col("o.o1").alias("o1"), F.col("node_id_2").alias("n2"), F.col("o.o2").alias("o2"),
-        F.least(F.col("seqlen_1") - shift, F.col("seqlen_2") - 1).alias("overlap"), "slot", "abundance_1", "abundance_2",
+    hashed = nodes.select("node_id", "abundance", "seqlen", "shift_l", "shift_r", *_side("s", suf), *_side("p", pre))
+    key = lambda slot, side: F.struct(F.lit(slot).alias("slot"), F.col(f"{side}a").alias("ka"), F.col(f"{side}b").alias("kb"))
+    keyed = hashed.select("*", F.inline(F.array(key(0, "s"), key(1, "p"))))
+    marks = [f"{side}{x}" for side in "sp" for x in "abrp"]
+    one = keyed.select("ka", "kb", "slot", *[F.col(c).alias(f"{c}1") for c in ("node_id", "abundance", "seqlen", "shift_l", "shift_r", *marks)])
+    two = keyed.select("ka", "kb", *[F.col(c).alias(f"{c}2") for c in ("node_id", "abundance", "seqlen", *marks)])
+
+    def meets(x: str, y: str, turned: bool) -> Column:
+        """Whether part x of the first node equals part y of the second, one of them turned round or not."""
+        same = F.col(f"{x}r1") != F.col(f"{y}r2") if turned else F.col(f"{x}r1") == F.col(f"{y}r2")
+        return (F.col(f"{x}a1") == F.col(f"{y}a2")) & (F.col(f"{x}b1") == F.col(f"{y}b2")) & (same | F.col(f"{x}p1"))
+
+    ways = (("++", "s", "p", False), ("+-", "s", "s", True), ("-+", "p", "p", True), ("--", "p", "s", False))
+    found = F.array_compact(F.array(*[F.when(meets(x, y, turned), F.lit(o)) for o, x, y, turned in ways]))
+    shift = F.when(F.col("o").startswith("+"), F.col("shift_l1")).otherwise(F.col("shift_r1"))
+    cand = one.join(two, ["ka", "kb"]).select("*", F.explode(found).alias("o")).select(
+        F.col("node_id1").alias("n1"), F.substring("o", 1, 1).alias("o1"), F.col("node_id2").alias("n2"), F.substring("o", 2, 1).alias("o2"),
+        F.least(F.col("seqlen1") - shift, F.col("seqlen2") - 1).alias("overlap"), "ka", "kb", "slot", "abundance1", "abundance2",
     )
     if presimp <= 0:
         return cand.select("n1", "o1", "n2", "o2", "overlap")
-    group = Window.partitionBy("n1", "slot")
-    ref = F.least(F.max("abundance_2").over(group), F.col("abundance_1"))
-    weak = (F.count("*").over(group) >= 2) & (F.col("abundance_2").cast("float") < F.lit(presimp).cast("float") * ref.cast("float"))
-    cand = cand.withColumn("weak", weak).withColumn("lo", F.least("n1", "n2")).withColumn("hi", F.greatest("n1", "n2"))
-    gone = cand.where("weak").select("lo", "hi").distinct()
-    return cand.where("NOT weak").join(gone, ["lo", "hi"], "left_anti").select("n1", "o1", "n2", "o2", "overlap")
+    # all rows of a node's slot have one key, by which they lie together already
+    group = Window.partitionBy("ka", "kb", "n1", "slot")
+    ref = F.least(F.max("abundance2").over(group), F.col("abundance1"))
+    weak = (F.count("*").over(group) >= 2) & (F.col("abundance2").cast("float") < F.lit(presimp).cast("float") * ref.cast("float"))
+    pair = Window.partitionBy(F.least("n1", "n2"), F.greatest("n1", "n2"))
+    marked = cand.select("n1", "o1", "n2", "o2", "overlap", weak.alias("weak"))
+    return marked.withColumn("gone", F.max("weak").over(pair)).where("NOT gone").select("n1", "o1", "n2", "o2", "overlap")
+
+
+def overlap_members(nodes: DataFrame, k: int) -> DataFrame:
+    """key, node_id, slot, reversed: each node under its two canonical (k-1)-mers, its last (slot 0) and its first (slot 1).
+
+    The linear form of the overlap graph: two rows of a key are linked wherever their directions fit, and nothing is paired.
+    """
+    pre, suf = without_last(F.col("kmer"), k), without_first(F.col("kmer"), k)
+    side = lambda slot, part: F.struct(canonical(part).alias("key"), F.lit(slot).alias("slot"), (part != canonical(part)).alias("reversed"))
+    return nodes.select("node_id", F.inline(F.array(side(0, suf), side(1, pre)))).select("key", "node_id", "slot", "reversed")
+
+
+def overlap_classes(nodes: DataFrame, k: int) -> DataFrame:
+    """key, n_nodes, n_links: each shared (k-1)-mer, its distinct nodes, and the links through it, counted without pairing them."""
+    out, into = F.col("slot") == F.col("reversed").cast("int"), F.col("slot") != F.col("reversed").cast("int")
+    per = overlap_members(nodes, k).groupBy("key").agg(
+        F.countDistinct("node_id").alias("n_nodes"), F.count_if(out).alias("leave"), F.count_if(into).alias("enter"), F.count("*").alias("rows")
+    )
+    # what leaves in a direction meets what enters in it: a last part forwards, or a first part backwards, leaves forwards
+    palindrome = F.col("key") == F.reverse("key")
+    n = F.when(palindrome, F.col("rows") * F.col("rows")).otherwise(F.lit(2) * F.col("leave") * F.col("enter"))
+    return per.where("n_nodes > 1").select("key", "n_nodes", n.alias("n_links"))
 
 
 def break_loops(links: DataFrame) -> DataFrame:
@@ -70,11 +111,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).union(low.select("m", "b"))
-        cur = written(small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        cur = written(small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), instead_of=cur)
         state = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     low = cur.groupBy(F.col("b").alias("node_id")).agg(F.min("a").alias("component"))
     return every.join(low, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
@@ -119,10 +162,11 @@ def unitigs(links: DataFrame, all_nodes: DataFrame | None = None, max_rounds: in
         both_ways = state.join(back, "at")
         moved = F.when(F.col("root2"), ~F.col("root")).otherwise(F.col("low2") < F.col("low"))
         state = written(both_ways.select(
-            "v", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("low", "low2").alias("low"), F.col("root2").alias("root"), moved.alias("moved")))
-        if state.where("moved").limit(1).count() == 0:
+            "v", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("low", "low2").alias("low"), F.col("root2").alias("root"), moved.alias("moved")), instead_of=state)
+        if state.where("moved").isEmpty():
             break
-        state = state.drop("moved")
+    else:
+        raise RuntimeError(f"paths have not settled after {max_rounds} rounds")
     # what never reached a root lies on a circle
     circle = state.where("NOT root").select("v", "low")
     path = state.where("root").select("v", F.col("at").alias("head"), F.col("hops").alias("ord"))
@@ -142,14 +186,17 @@ def _number_circles(circle: DataFrame, step: DataFrame, max_rounds: int) -> Data
     own = written(own.join(other, "v").where(F.col("low") <= F.col("low2")).select("v", "low"))
     before = step.join(own.select("v", "low"), "v").where(F.col("v") != F.col("low")).select("v", "u")
     state = written(own.select("v").join(before, "v", "left").select("v", F.coalesce("u", "v").alias("at"), F.col("u").isNotNull().cast("bigint").alias("hops")))
-    if state.limit(1).count() == 0:
+    if state.isEmpty():
         return state.select("v", F.col("at").alias("head"), F.col("hops").alias("ord"))
     for _ in range(max_rounds):
         back = state.select(F.col("v").alias("at"), F.col("at").alias("at2"), F.col("hops").alias("hops2"))
-        state = written(state.join(back, "at").select("v", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("hops2") > 0).alias("moved")))
-        if state.where("moved").limit(1).count() == 0:
+        state = written(
+            state.join(back, "at").select("v", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("hops2") > 0).alias("moved")), instead_of=state
+        )
+        if state.where("moved").isEmpty():
             break
-        state = state.drop("moved")
+    else:
+        raise RuntimeError(f"circles have not settled after {max_rounds} rounds")
     return state.select("v", F.col("at").alias("head"), F.col("hops").alias("ord"))
 
 

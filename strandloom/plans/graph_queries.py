@@ -38,6 +38,16 @@ def mdbg_edges_presimp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(nodes(spark, sf_dir).where("abundance IS NOT NULL AND seqlen IS NOT NULL"), K, presimp=0.01)
 
 
+def overlap_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes under their two (k-1)-mers: the overlap graph without its pairs."""
+    return graph.overlap_members(nodes(spark, sf_dir).where("abundance IS NOT NULL AND seqlen IS NOT NULL"), K)
+
+
+def overlap_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared (k-1)-mers with their nodes and the links through each."""
+    return graph.overlap_classes(nodes(spark, sf_dir).where("abundance IS NOT NULL AND seqlen IS NOT NULL"), K)
+
+
 def break_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links without self-loops, one for each pair of nodes."""
     return graph.break_loops(links(spark, sf_dir))
@@ -147,7 +157,7 @@ def event_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    node_table, mdbg_edges, mdbg_edges_presimp, break_loops, node_degrees, graph_components, largest_components, subgraph_abundant, unitigs, unitig_stats,
+    node_table, mdbg_edges, mdbg_edges_presimp, overlap_members, overlap_classes, break_loops, node_degrees, graph_components, largest_components, subgraph_abundant, unitigs, unitig_stats,
     unitig_n50, unitig_samples, graph_tips, graph_bubbles, simplified_links, repaired_overlaps, gfa_text, node_abundance, link_distances, event_overlaps,
 )}
 
@@ -161,6 +171,9 @@ c AS (SELECT *, '+' AS o1, '+' AS o2 FROM j WHERE sp = pp UNION ALL SELECT *, '+
   UNION ALL SELECT *, '-', '+' FROM j WHERE sm = pp UNION ALL SELECT *, '-', '-' FROM j WHERE sm = pm),
 e AS (SELECT n1, o1, n2, o2, least(s1 - CASE WHEN o1 = '+' THEN shift_l ELSE shift_r END, s2 - 1) AS overlap,
   count(*) OVER g >= 2 AND CAST(a2 AS FLOAT) < CAST(0.01 AS FLOAT) * CAST(least(max(a2) OVER g, a1) AS FLOAT) AS weak FROM c WINDOW g AS (PARTITION BY n1, slot))"""
+_MEMBERS = NODES + """, u AS (SELECT * FROM node WHERE abundance IS NOT NULL AND seqlen IS NOT NULL),
+part AS (SELECT node_id, 0 AS slot, kmer[2:5] AS p, kmer[2:5] AS leaves, list_reverse(kmer[2:5]) AS enters FROM u UNION ALL SELECT node_id, 1, kmer[1:4], list_reverse(kmer[1:4]), kmer[1:4] FROM u),
+member AS (SELECT *, least(p, list_reverse(p)) AS key, p <> least(p, list_reverse(p)) AS reversed FROM part)"""
 BOTH = """own AS (SELECT n1, o1, n2, o2 FROM edges WHERE n1 IS NOT NULL AND n2 IS NOT NULL AND o1 IN ('+', '-') AND o2 IN ('+', '-')),
 both_sides AS (SELECT * FROM own UNION SELECT n2, CASE o2 WHEN '+' THEN '-' ELSE '+' END, n1, CASE o1 WHEN '+' THEN '-' ELSE '+' END FROM own)"""
 COMPONENTS = """RECURSIVE lk AS (SELECT n1 AS a, n2 AS b FROM edges WHERE n1 IS NOT NULL AND n2 IS NOT NULL UNION SELECT n2, n1 FROM edges WHERE n1 IS NOT NULL AND n2 IS NOT NULL),
@@ -173,6 +186,9 @@ ORACLES = {
     "mdbg_edges": f"WITH {_CANDIDATES} SELECT n1, o1, n2, o2, overlap FROM e",
     "mdbg_edges_presimp": f"""WITH {_CANDIDATES}, gone AS (SELECT DISTINCT least(n1, n2) AS lo, greatest(n1, n2) AS hi FROM e WHERE weak)
 SELECT n1, o1, n2, o2, overlap FROM e WHERE NOT weak AND NOT EXISTS (SELECT 1 FROM gone WHERE lo = least(n1, n2) AND hi = greatest(n1, n2))""",
+    "overlap_members": f"WITH {_MEMBERS} SELECT key, node_id, slot, reversed FROM member",
+    "overlap_classes": f"""WITH {_MEMBERS}, li AS (SELECT a.key, count(*) AS n FROM member a JOIN member b ON a.key = b.key AND a.leaves = b.enters GROUP BY a.key)
+SELECT key, count(DISTINCT node_id) AS n_nodes, coalesce(any_value(n), 0) AS n_links FROM member LEFT JOIN li USING (key) GROUP BY key HAVING count(DISTINCT node_id) > 1""",
     "break_loops": """SELECT n1, o1, n2, o2, overlap FROM (SELECT *, row_number() OVER (PARTITION BY least(n1, n2), greatest(n1, n2) ORDER BY n1, o1, n2, o2, overlap NULLS FIRST) AS place
 FROM edges WHERE n1 <> n2 AND o1 IS NOT NULL AND o2 IS NOT NULL) WHERE place = 1""",
     "node_degrees": f"WITH {BOTH} SELECT n1 AS node_id, count(*) FILTER (o1 = '+') AS links_out, count(*) FILTER (o1 = '-') AS links_in FROM both_sides GROUP BY n1",

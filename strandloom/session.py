@@ -29,15 +29,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """`df` as a Parquet table in the shared folder, for loops that join a frame with itself.
 
     A checkpoint keeps the size estimated for its plan, which such a loop squares each round, until a round over a few hundred rows takes
-    many seconds; a table has the size of its files.
+    many seconds; a table has the size of its files.  The table of `instead_of`, an earlier result of this function that nothing
+    reads any more, is deleted.
     """
-    where = shared_dir(df.sparkSession, "table")
+    spark = df.sparkSession
+    where = shared_dir(spark, "table")
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.written_to = where
+    if instead_of is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of.written_to)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return out
 
 
 def tasks(spark: SparkSession) -> int:
