@@ -100,15 +100,23 @@ def density_bound(density: float) -> np.uint64:
     return np.uint64(int(density * float(2**64 - 1)))
 
 
-def density_minimizers(data: np.ndarray, at: np.ndarray, l: int, density: float, hpc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence number, position in the sequence as given, and hash of the selected windows."""
+def density_minimizers(
+    data: np.ndarray, at: np.ndarray, l: int, density: float, hpc: bool, collapsed_positions: bool = False, without: str = "",
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence number, position in the sequence as given (or after collapsing), and hash of the selected windows; windows with a letter
+    of `without` are left out."""
+    pos = None
     if hpc:
         data, at, pos = collapse(data, at)
-    else:
+    if pos is None or collapsed_positions:
         pos = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
     start = window_starts(at, len(data), l)
     h = canonical_hashes(data, l)[start]
-    start, h = start[h <= density_bound(density)], h[h <= density_bound(density)]
+    keep = h <= density_bound(density)
+    if without:
+        bad = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(without.encode(), dtype=np.uint8)))])
+        keep &= bad[start + l] == bad[start]
+    start, h = start[keep], h[keep]
     return np.searchsorted(at, start, side="right") - 1, pos[start], h
 
 
@@ -127,8 +135,10 @@ def mix_masked(key: np.ndarray, mask: int) -> np.ndarray:
 
 def two_bit(code: np.ndarray, k: int) -> np.ndarray:
     """Smaller of both strands of every k-letter window as 2-bit numbers; windows with other letters hold rubbish."""
-    n = len(code) - k + 1
-    fwd, rev = np.zeros(max(n, 0), dtype=np.uint64), np.zeros(max(n, 0), dtype=np.uint64)
+    n = max(0, len(code) - k + 1)
+    fwd, rev = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    if n == 0:
+        return fwd
     for i in range(k):
         c = code[i : i + n].astype(np.uint64) & np.uint64(3)
         fwd = (fwd << np.uint64(2)) | c
@@ -153,27 +163,48 @@ def sliding_minimum(values: list[int], width: int) -> list[int]:
     return out
 
 
-def syncmers(seq: bytes, l: int, s: int, density: float) -> tuple[list[int], list[int]]:
-    """Start and hash of the open syncmers of one sequence: the smallest canonical s-mer of the l-mer sits in its middle, and the
+def tracked_minima(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of `width` values inside one owner, by their starts, and for each the index that `sliding_minimum` tracks.
+
+    Where a window has one minimum, that is it.  Otherwise the choice hangs on the windows before, back to one without a tie, and
+    only such stretches are walked.
+    """
+    n = len(values) - width + 1
+    if n < 1:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    start = np.flatnonzero(owner[:n] == owner[width - 1 :])
+    least = values[start].copy()
+    left, right = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)
+    for o in range(1, width):
+        v = values[start + o]
+        left[v < least] = o
+        right[v <= least] = o
+        np.minimum(least, v, out=least)
+    at = start + left
+    first = np.append(True, (start[1:] != start[:-1] + 1) | (owner[start[1:]] != owner[start[:-1]])) if len(start) else np.empty(0, dtype=bool)
+    for i in np.flatnonzero((left != right) & ~first).tolist():
+        at[i] = at[i - 1] if at[i - 1] >= start[i] else start[i] + right[i]
+    return start, at
+
+
+def syncmers(data: np.ndarray, at: np.ndarray, l: int, s: int, density: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence number, start in it and hash of the open syncmers: the smallest canonical s-mer of the l-mer sits in its middle, and the
     l-mer's hash is kept by the density.  Letters outside ACGT cut the sequence; s = 0 keeps by density alone."""
     if not 0 <= s < l <= 31:
         raise ValueError("0 <= s < l <= 31 is needed")
-    code = _CODE[np.frombuffer(seq, dtype=np.uint8)]
-    bound = int(density * float(4**l))
-    middle = -(-(l - s + 1) // 2) - 1
-    starts, hashes = [], []
-    cuts = np.flatnonzero(np.concatenate([[4], code, [4]]) == 4)
-    for a, b in zip(cuts[:-1], cuts[1:] - 1):
-        part = code[a:b]
-        if len(part) < l:
-            continue
-        whole = mix_masked(two_bit(part, l), 4**l - 1)
-        kept = whole <= np.uint64(bound)
-        if s:
-            small = mix_masked(two_bit(part, s), 4**s - 1).tolist()
-            low = np.array(sliding_minimum(small, l - s + 1))
-            kept &= low == np.arange(len(whole)) + middle
-        at = np.flatnonzero(kept)
-        starts += (at + a).tolist()
-        hashes += whole[at].astype(np.int64).tolist()
-    return starts, hashes
+    code = _CODE[data]
+    # pieces of clear letters inside one sequence
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    clear = np.flatnonzero(code < 4)
+    code, doc = code[clear], doc[clear]
+    piece = np.cumsum(np.append(0, (np.diff(clear) > 1) | (np.diff(doc) > 0))) if len(clear) else np.empty(0, dtype=np.int64)
+    n = max(0, len(code) - l + 1)
+    start = np.flatnonzero(piece[:n] == piece[l - 1 :]) if n else np.empty(0, dtype=np.int64)
+    whole = mix_masked(two_bit(code, l), 4**l - 1)[start]
+    kept = whole <= np.uint64(int(density * float(4**l)))
+    if s and len(start):
+        windows, low = tracked_minima(mix_masked(two_bit(code, s), 4**s - 1), piece[: len(code) - s + 1], l - s + 1)
+        # windows over s-mers of two pieces are none: an l-mer's own windows are looked up by its start
+        kept &= low[np.searchsorted(windows, start)] == start + -(-(l - s + 1) // 2) - 1
+    start, whole = start[kept], whole[kept]
+    return doc[start], clear[start] - at[doc[start]], whole.astype(np.int64)

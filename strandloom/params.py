@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Params:
-    """k: minimizers of a node; l: letters of a minimizer; density: share of l-mers kept; scheme: density or syncmers;
-    s: letters of the inner windows of syncmers; hpc: collapse runs first; min_abundance and presimp: graph filters."""
+    """k: minimizers of a node; l: letters of a minimizer; density: share of l-mers kept; scheme: density, syncmers, uhs (of a universal
+    set) or lcp (of a set of core strings; those two take a list of l-mers); s: letters of the inner windows of syncmers; hpc: collapse runs first; min_abundance and presimp: graph filters."""
 
     k: int = 10
     l: int = 12
@@ -26,7 +26,7 @@ class Params:
     def __post_init__(self) -> None:
         if self.k < 2 or self.l < 1 or self.min_abundance < 1 or not 0 < self.density <= 0.5 or self.presimp < 0:
             raise ValueError("k >= 2, l >= 1, min_abundance >= 1, 0 < density <= 0.5 and presimp >= 0 are needed")
-        if self.scheme not in ("density", "syncmers"):
+        if self.scheme not in ("density", "syncmers", "uhs", "lcp"):
             raise ValueError(f"no scheme {self.scheme}")
         if self.scheme == "syncmers" and not 0 <= self.s < self.l <= 31:
             raise ValueError("0 <= s < l <= 31 is needed")

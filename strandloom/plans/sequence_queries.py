@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,16 +52,46 @@ def base_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minimizers_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected 12-mers of every read: position and hash."""
-    found = minspace.minimizers(reads(spark, sf_dir), DENSITY)
-    return found.select("read_id", F.explode(F.arrays_zip("pos", "minims")).alias("x")).select("read_id", F.col("x.pos").alias("pos"), F.col("x.minims").alias("minim"))
+    return _places(minspace.minimizers(reads(spark, sf_dir), DENSITY))
 
 
 def minimizers_syncmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open syncmers of every read."""
-    found = minspace.minimizers(reads(spark, sf_dir), Params(k=K, l=12, density=0.3, scheme="syncmers", s=4))
+    return _places(minspace.minimizers(reads(spark, sf_dir), Params(k=K, l=12, density=0.3, scheme="syncmers", s=4)))
+
+
+def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lmer, n: the first 12 letters of the l-mers of minspace with their rows, as a list of l-mers."""
+    rows = table(spark, sf_dir, "minspace").select(F.explode("minimizers").alias("lmer")).where("lmer IS NOT NULL")
+    return rows.groupBy(F.substring("lmer", 1, DENSITY.l).alias("lmer")).agg(F.count("*").alias("n"))
+
+
+def _places(found: DataFrame) -> DataFrame:
     return found.select("read_id", F.explode(F.arrays_zip("pos", "minims")).alias("x")).select("read_id", F.col("x.pos").alias("pos"), F.col("x.minims").alias("minim"))
 
 
+def minimizers_uhs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected 12-mers of every read that a list holds."""
+    return _places(minspace.minimizers(reads(spark, sf_dir), replace(DENSITY, scheme="uhs"), _heads(spark, sf_dir)))
+
+
+def minimizers_lcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected 12-mers of every read without an unclear letter that a list holds."""
+    return _places(minspace.minimizers(reads(spark, sf_dir), replace(DENSITY, scheme="lcp"), _heads(spark, sf_dir)))
+
+
+def minimizers_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected 12-mers of every read from a dictionary without rare and frequent ones."""
+    known = minspace.dictionary(_heads(spark, sf_dir), DENSITY.l, DENSITY.density, low=1, high=200)
+    return _places(minspace.minimizers(reads(spark, sf_dir), DENSITY, known))
+
+
+def dictionary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of that dictionary."""
+    heads = _heads(spark, sf_dir)
+    return minspace.dictionary_sizes(heads, minspace.dictionary(heads, DENSITY.l, DENSITY.density, low=1, high=200), low=1, high=200)
+
+
 def lmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of every l-mer of minspace on either strand."""
     return minspace.lmer_counts(table(spark, sf_dir, "minspace"))
@@ -171,23 +203,39 @@ def run_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    read_lengths, hpc_reads, revcomp_reads, base_composition, minimizers_density, minimizers_syncmer, lmer_counts, robust_minimizers, dictionary_minimizers,
+    read_lengths, hpc_reads, revcomp_reads, base_composition, minimizers_density, minimizers_syncmer, minimizers_uhs, minimizers_lcp, minimizers_counted, dictionary_sizes, lmer_counts, robust_minimizers, dictionary_minimizers,
     kminmer_counts, kminmer_nodes, read_stats, subread_coverage, subread_hits, kminmer_set_compare, abundance_histogram, mappability, ngram_successors,
     minimizer_spacing, similar_reads, corrected_reads, assembled_contigs, run_reads,
 )}
 
 
+def _hashes(l: int) -> str:
+    """SQL column list: the rolling hash of the l letters from here on, the smaller of both strands, from columns f0.. and g0.. of each letter."""
+    xor = lambda c: "xor(" * (l - 1) + f"{c}0" + "".join(f", lead({c}{o}, {o}, 0::UBIGINT) OVER w)" for o in range(1, l))
+    return f"least({xor('f')}, {xor('g')})"
+
+
 def _rotations(l: int) -> str:
-    """Rows (letter, offset, forward part, backward part) of the rolling hash."""
+    """Rows (letter, forward parts, backward parts) of the rolling hash, by place in the window."""
+    rol = lambda x, k: ((x << k) | (x >> (64 - k))) & (1 << 64) - 1 if k % 64 else x
+    seeds = [int(x) for x in kernels.SEEDS[:4]]
+    parts = lambda i: [rol(seeds[i], l - 1 - o) for o in range(l)] + [rol(seeds[3 - i], o) for o in range(l)]
+    rows = [(c, parts(i)) for i, c in enumerate("ACGT")] + [("N", [0] * 2 * l)]
+    names = ", ".join([f"f{o}" for o in range(l)] + [f"g{o}" for o in range(l)])
+    values = ", ".join(f"('{c}', {', '.join(f'{x}::UBIGINT' for x in p)})" for c, p in rows)
+    return f"rot(letter, {names}) AS (VALUES {values})"
+
+
+def _long_rotations(l: int) -> str:
+    """Rows (letter, place, forward part, backward part) of the rolling hash."""
     rol = lambda x, k: ((x << k) | (x >> (64 - k))) & (1 << 64) - 1 if k % 64 else x
     seeds = [int(x) for x in kernels.SEEDS[:4]]
-    rows = [(c, o, rol(seeds[i], l - 1 - o), rol(seeds[3 - i], o)) for i, c in enumerate("ACGT") for o in range(l)]
-    return ", ".join(f"('{c}', {o}, {a}::UBIGINT, {b}::UBIGINT)" for c, o, a, b in rows)
+    return ", ".join(f"('{c}', {o}, {rol(seeds[i], l - 1 - o)}::UBIGINT, {rol(seeds[3 - i], o)}::UBIGINT)" for i, c in enumerate("ACGT") for o in range(l))
 
 
 CLEAN = """r AS (SELECT read_id, any_value(replace(upper(regexp_replace(seq, '\\s', '', 'g')), 'U', 'T')) AS s FROM reads
   WHERE read_id IS NOT NULL AND seq IS NOT NULL AND trim(seq) NOT IN ('', '*') GROUP BY read_id)"""
-HPC = CLEAN + """, c AS (SELECT read_id, i, s[i] AS b FROM (SELECT read_id, s, unnest(range(1, length(s) + 1)) AS i FROM r)),
+HPC = CLEAN + """, c AS (SELECT read_id, unnest(string_split(s, '')) AS b, unnest(range(1, length(s) + 1)) AS i FROM r),
 d AS (SELECT * FROM (SELECT *, lag(b) OVER (PARTITION BY read_id ORDER BY i) AS p FROM c) WHERE p IS NULL OR b <> p OR NOT b IN ('A', 'C', 'G', 'T', 'N'))"""
 ONCE = """once AS (SELECT read_id, any_value(minims) AS minims, any_value(pos) AS pos, any_value(minimizers) AS minimizers FROM minspace
   WHERE read_id IS NOT NULL AND minims IS NOT NULL GROUP BY read_id)"""
@@ -204,6 +252,13 @@ _RC = "replace(replace(replace(replace(replace(replace({0}, 'A', 'x'), 'T', 'A')
 _LMER = f"""lm AS (SELECT unnest(minimizers) AS l FROM minspace), lc AS (SELECT least(l, reverse({_RC.format('l')})) AS lmer, count(*) AS n FROM lm WHERE l IS NOT NULL GROUP BY 1)"""
 _ROWS = f"""{ONCE}, z AS (SELECT read_id, i - 1 AS i, minimizers[i] AS l, minims[i] AS minim, pos[i] AS pos FROM (SELECT *, unnest(range(1, len(minims) + 1)) AS i FROM once)),
 zc AS (SELECT *, least(l, reverse({_RC.format('l')})) AS lmer FROM z)"""
+_PICKED = f"""{HPC}, {_rotations(12)},
+e AS (SELECT read_id, i, b, row_number() OVER (PARTITION BY read_id ORDER BY i) AS j, rot.* FROM d JOIN rot ON letter = CASE WHEN b IN ('A', 'C', 'G', 'T') THEN b ELSE 'N' END),
+x AS (SELECT read_id, CAST(i - 1 AS INTEGER) AS pos, CAST(j - 1 AS INTEGER) AS hpos, {_hashes(12)} AS h, lead(i, 11) OVER w AS z,
+  concat(b{''.join(f', lead(b, {o}) OVER w' for o in range(1, 12))}) AS word FROM e WINDOW w AS (PARTITION BY read_id ORDER BY j)),
+picked AS (SELECT read_id, pos, hpos, CAST(h AS BIGINT) AS minim, least(word, reverse({_RC.format('word')})) AS lmer FROM x WHERE z IS NOT NULL AND h <= {int(kernels.density_bound(0.05))}::UBIGINT)"""
+_HEADS = f"""heads AS (SELECT least(l, reverse({_RC.format('l')})) AS lmer FROM (SELECT substr(unnest(minimizers), 1, 12) AS l FROM minspace) WHERE length(l) = 12),
+counted AS (SELECT lmer, n FROM (SELECT substr(l, 1, 12) AS h, count(*) AS n FROM (SELECT unnest(minimizers) AS l FROM minspace) WHERE l IS NOT NULL GROUP BY 1), LATERAL (SELECT least(h, reverse({_RC.format('h')})) AS lmer))"""
 _OUT = "CAST(i AS INTEGER) AS i, minim, pos"
 
 ORACLES = {
@@ -213,11 +268,15 @@ ORACLES = {
     "revcomp_reads": f"WITH {CLEAN} SELECT read_id, reverse(translate(regexp_replace(s, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) AS rc FROM r",
     "base_composition": """SELECT run_id, CAST(sum(length(s)) AS BIGINT) AS letters, CAST(sum(length(s) - length(replace(s, 'N', ''))) AS BIGINT) AS unclear FROM
 (SELECT run_id, regexp_replace(replace(upper(regexp_replace(seq, '\\s', '', 'g')), 'U', 'T'), '[^ACGT]', 'N', 'g') AS s FROM reads WHERE seq IS NOT NULL AND trim(seq) NOT IN ('', '*')) GROUP BY run_id""",
-    "minimizers_density": f"""WITH {HPC}, e AS (SELECT read_id, b, i, row_number() OVER (PARTITION BY read_id ORDER BY i) AS j, count(*) OVER (PARTITION BY read_id) AS n FROM d),
-rot(b, o, f, g) AS (VALUES {_rotations(12)}),
-x AS (SELECT read_id, j - o AS start, bit_xor(f) AS f, bit_xor(g) AS g FROM e JOIN rot USING (b) WHERE j - o >= 1 AND j - o + 11 <= n GROUP BY ALL)
-SELECT x.read_id, CAST(e.i - 1 AS INTEGER) AS pos, CAST(least(f, g) AS BIGINT) AS minim FROM x JOIN e ON x.read_id = e.read_id AND x.start = e.j
-WHERE least(f, g) <= {int(kernels.density_bound(0.05))}::UBIGINT""",
+    "minimizers_density": f"WITH {_PICKED} SELECT read_id, pos, minim FROM picked",
+    "minimizers_uhs": f"WITH {_PICKED}, {_HEADS} SELECT read_id, hpos AS pos, minim FROM picked WHERE lmer IN (SELECT lmer FROM heads)",
+    "minimizers_lcp": f"WITH {_PICKED}, {_HEADS} SELECT read_id, hpos AS pos, minim FROM picked WHERE lmer IN (SELECT lmer FROM heads) AND NOT contains(lmer, 'N')",
+    "minimizers_counted": f"WITH {_PICKED}, {_HEADS} SELECT read_id, pos, minim FROM picked WHERE lmer IN (SELECT lmer FROM counted WHERE n > 1 AND n < 200)",
+    "dictionary_sizes": f"""WITH {_HEADS}, rot(letter, o, f, g) AS (VALUES {_long_rotations(12)}),
+own AS (SELECT DISTINCT lmer FROM counted WHERE n > 1 AND n < 200), hashed AS (SELECT lmer, least(bit_xor(f), bit_xor(g)) AS h FROM
+(SELECT lmer, substr(lmer, o + 1, 1) AS letter, o FROM own, range(12) t(o)) JOIN rot USING (letter, o) GROUP BY lmer),
+kept AS (SELECT * FROM hashed WHERE h <= {int(kernels.density_bound(0.05))}::UBIGINT)
+SELECT count(DISTINCT h) AS n_ids, CAST(sum(CASE WHEN lmer = reverse({_RC.format('lmer')}) THEN 1 ELSE 2 END) AS BIGINT) AS n_sequences, (SELECT count(*) FROM counted WHERE n <= 1 OR n >= 200) AS n_skipped FROM kept""",
     "lmer_counts": f"WITH {_LMER} SELECT lmer, n FROM lc",
     "robust_minimizers": f"WITH {_LMER}, {_ROWS} SELECT read_id, {_OUT} FROM zc JOIN lc USING (lmer) WHERE n > 2 AND n < 1000",
     "dictionary_minimizers": f"WITH {_LMER}, {_ROWS} SELECT read_id, {_OUT} FROM zc JOIN lc USING (lmer) WHERE n >= 5",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.dna import fold, shown
+from strandloom.functions.dna import fold, reverse_complement, shown
 
 
 def looks_like_fasta(name: str) -> bool:
@@ -146,11 +146,10 @@ def read_sequence_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lmer_counts(spark: SparkSession, path: str) -> DataFrame:
-    """lmer (smaller of both strands), count; of repeated l-mers the largest count stands."""
-    from strandloom.functions.dna import reverse_complement
-
-    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f")).select(_field(0).alias("l"), _field(1).try_cast("bigint").alias("n")).where("n IS NOT NULL")
-    return rows.groupBy(F.least("l", reverse_complement("l")).alias("lmer")).agg(F.max("n").alias("count"))
+    """lmer (smaller of both strands), count; of repeated l-mers the line of the highest number stands."""
+    rows = numbered_lines(spark, path).select("n", F.split(F.trim("line"), r"\s+").alias("f")).select(F.col("n").alias("at"), _field(0).alias("l"), _field(1).try_cast("bigint").alias("n"))
+    last = rows.where("n IS NOT NULL").groupBy(F.least("l", reverse_complement("l")).alias("lmer")).agg(F.max(F.struct("at", "n")).alias("x"))
+    return last.select("lmer", F.col("x.n").alias("count"))
 
 
 def read_lmer_list(spark: SparkSession, path: str, l: int) -> DataFrame:

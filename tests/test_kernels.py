@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -66,14 +67,38 @@ def test_sliding_minimum(v, w):
     assert K.sliding_minimum(v, w) == slow_minimum(v, w)
 
 
+def one(seq: bytes, l, s, density):
+    return [x.tolist() for x in K.syncmers(np.frombuffer(seq, dtype=np.uint8), np.array([0, len(seq)]), l, s, density)[1:]]
+
+
 def test_syncmers_cut_at_unclear_letters():
     s = "".join(random.Random(1).choice("ACGT") for _ in range(300))
-    a, h = K.syncmers(s.encode(), 11, 4, 0.5)
-    b, g = K.syncmers((s + "N" + s).encode(), 11, 4, 0.5)
+    a, h = one(s.encode(), 11, 4, 0.5)
+    b, g = one((s + "N" + s).encode(), 11, 4, 0.5)
     assert a and b == a + [x + 301 for x in a] and g == h + h
-    every, _ = K.syncmers(s.encode(), 11, 0, 0.5)
+    every, _ = one(s.encode(), 11, 0, 0.5)
     assert len(every) > len(a)
-    assert K.syncmers(b"ACG", 11, 4, 0.5) == ([], [])
+    assert one(b"ACG", 11, 4, 0.5) == [[], []] and one(b"", 11, 4, 0.5) == [[], []]
+
+
+@given(st.lists(st.text("ACGTNA", max_size=60), max_size=5), st.sampled_from([(7, 3), (8, 2), (5, 4)]))
+def test_syncmers_of_a_batch(seqs, ls):
+    """Against a walk over each clear piece of each sequence; few letters make many ties."""
+    l, s = ls
+    want = []
+    for row, seq in enumerate(seqs):
+        for m in re.finditer("[ACGT]+", seq):
+            code = np.array(["ACGT".index(c) for c in m.group()], dtype=np.uint8)
+            if len(code) < l:
+                continue
+            small = K.mix_masked(K.two_bit(code, s), 4**s - 1).tolist()
+            whole = K.mix_masked(K.two_bit(code, l), 4**l - 1).tolist()
+            for i, low in enumerate(K.sliding_minimum(small, l - s + 1)):
+                if low == i + -(-(l - s + 1) // 2) - 1 and whole[i] <= int(0.5 * 4.0**l):
+                    want.append((row, m.start() + i, whole[i]))
+    data = np.frombuffer("".join(seqs).encode(), dtype=np.uint8)
+    got = K.syncmers(data, np.concatenate([[0], np.cumsum([len(x) for x in seqs])]).astype(np.int64), l, s, 0.5)
+    assert list(zip(*(x.tolist() for x in got))) == want
 
 
 def test_mix_is_invertible_on_small_masks():
