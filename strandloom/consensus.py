@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 MATCH, MISMATCH, GAP = 1, -1, -1
+#: First letter of a gap where a consensus is cut to its template.
+OPEN = -2
 
 
 class Graph:
@@ -123,20 +125,26 @@ class Graph:
         return [self.values[i] for i in path], texts
 
 
-def pair_scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
-    """Last row of the score table of a (whole) against b (any part), and the number of rows; gaps cost 1."""
+def pair_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Last row of the score table of a (whole) against b (any part); the first letter of a gap costs 2, each further one 1."""
+    cols = np.arange(len(b) + 1)
     row = np.zeros(len(b) + 1, dtype=np.int64)
-    steps = np.arange(len(b) + 1)
+    down = np.full(len(b) + 1, -(1 << 40), dtype=np.int64)
     for i, x in enumerate(a):
-        new = np.maximum(np.append(GAP * (i + 1), row[:-1] + np.where(b == x, MATCH, MISMATCH)), row + GAP)
-        new[0] = GAP * (i + 1)
-        # gaps in a: running maximum of what any earlier column gives after paying its gaps
-        row = np.maximum.accumulate(new + steps) - steps
-    return row, len(a)
+        down = np.maximum(row + OPEN, down + GAP)
+        new = np.append(OPEN + GAP * i, np.maximum(row[:-1] + np.where(b == x, MATCH, MISMATCH), down[1:]))
+        # gaps in a: the best earlier column after paying for the gap from it
+        across = np.maximum.accumulate(new + cols) - cols + (OPEN - GAP)
+        row = np.maximum(new, np.append(new[:1], across[:-1] + GAP))
+    return row
 
 
 def identity(a: str, b: str) -> float:
-    """Matches over alignment columns of a (whole) on b (any part), the better of both directions of a; 0 for empty texts."""
+    """Matches over alignment columns of a (whole) on b (any part), the better of both directions of a; 0 for empty texts.
+
+    Of equal moves a pair of letters wins over a gap in b, that over a gap in a.  Matches and columns travel with the scores, so memory
+    grows with b alone.
+    """
     if not a or not b:
         return 0.0
     if a in b:
@@ -145,28 +153,22 @@ def identity(a: str, b: str) -> float:
 
     best = 0.0
     y = np.frombuffer(b.encode(), dtype=np.uint8)
+    place = np.arange(len(y) + 1, dtype=np.int32)
     for text in (a, reverse_complement(a)):
-        x = np.frombuffer(text.encode(), dtype=np.uint8)
-        # rows of the table as bytes of moves are kept only as long as one pair is aligned
-        row = np.zeros(len(y) + 1, dtype=np.int64)
-        cols = np.arange(len(y) + 1)
-        rows = [row]
-        for i, c in enumerate(x):
-            new = np.maximum(np.append(-(i + 1), row[:-1] + np.where(y == c, 1, -1)), row - 1)
-            row = np.maximum.accumulate(new + cols) - cols
-            rows.append(row)
-        i, j = len(x), int(rows[-1].argmax())
-        same = columns = 0
-        while i > 0:
-            columns += 1
-            if j > 0 and rows[i][j] == rows[i - 1][j - 1] + (1 if x[i - 1] == y[j - 1] else -1):
-                same += int(x[i - 1] == y[j - 1])
-                i, j = i - 1, j - 1
-            elif rows[i][j] == rows[i - 1][j] - 1:
-                i -= 1
-            else:
-                j -= 1
-        best = max(best, same / columns)
+        row, same, columns = (np.zeros(len(y) + 1, dtype=np.int32) for _ in range(3))
+        for i, c in enumerate(np.frombuffer(text.encode(), dtype=np.uint8)):
+            hit = (y == c).astype(np.int32)
+            pair, gap = row[:-1] + 2 * hit - 1, row - 1
+            paired = np.append(False, pair >= gap[1:])
+            new = np.append(gap[:1], np.maximum(pair, gap[1:]))
+            same = np.where(paired, np.append(0, same[:-1] + hit), same)
+            columns = np.where(paired, np.append(0, columns[:-1]), columns) + 1
+            row = np.maximum.accumulate(new + place) - place
+            # where a gap in a is best, the cell left of it that no such gap led to
+            source = np.maximum.accumulate(np.where(row == new, place, 0))
+            same, columns = same[source], columns[source] + place - source
+        end = int(row.argmax())
+        best = max(best, float(same[end] / columns[end]))
     return best
 
 
@@ -176,8 +178,8 @@ def template_part(template: list, found: list) -> tuple[int, int]:
         return 0, 0
     code = {v: i for i, v in enumerate(dict.fromkeys([*template, *found]))}
     a, b = np.array([code[v] for v in template]), np.array([code[v] for v in found])
-    end = int(pair_scores(a, b)[0].argmax())
-    back = pair_scores(a[::-1], b[:end][::-1])[0]
+    end = int(pair_scores(a, b).argmax())
+    back = pair_scores(a[::-1], b[:end][::-1])
     return end - int(back.argmax()), end
 
 

@@ -66,13 +66,19 @@ def overlap_counts(intervals: DataFrame, by: str, start: str, end: str, min_over
 
 def list_classes(lists: DataFrame) -> DataFrame:
     """lists with class_id: equal lists, in either direction, form a class.  Empty lists have none and are left out."""
-    keyed = lists.where(F.size("minims") > 0).withColumn("__c", canonical(F.col("minims")))
-    return keyed.withColumn("class_id", F.xxhash64("__c", F.size("__c"))).drop("__c")
+    return lists.where(F.size("minims") > 0).withColumn("class_id", _class_hash(canonical(F.col("minims"))))
+
+
+def _class_hash(c: Column) -> Column:
+    return F.xxhash64(c, F.size(c))
 
 
 def class_sets(lists: DataFrame, n: int) -> DataFrame:
-    """class_id, members, s (sorted distinct elements), grams (canonical runs of n elements)."""
-    classes = list_classes(lists).groupBy("class_id").agg(F.first("minims").alias("list"), F.count("*").alias("members"))
+    """class_id, members, s (sorted distinct elements), grams (canonical runs of n elements).  Fails if two lists have one hash."""
+    c = canonical(F.col("minims"))
+    found = list_classes(lists).groupBy("class_id").agg(F.min(c).alias("list"), F.max(c).alias("list2"), F.count("*").alias("members"))
+    same = F.when(F.col("list") == F.col("list2"), F.col("list")).otherwise(F.raise_error(F.lit("two lists have one hash")).cast("array<bigint>"))
+    classes = found.select("class_id", same.alias("list"), "members")
     return classes.select("class_id", "members", F.array_sort(F.array_distinct("list")).alias("s"), F.transform(windows("list", n), canonical).alias("grams"))
 
 

@@ -5,10 +5,10 @@ A path is (unitig, ord, node_id, o); the first node gives its whole sequence, ea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.dna import clean_seq, reverse_complement
+from strandloom.functions.dna import canonical, clean_seq, reverse_complement
 
 
 def node_sequences(nodes: DataFrame, reads: DataFrame, l: int) -> DataFrame:
@@ -21,10 +21,9 @@ def node_sequences(nodes: DataFrame, reads: DataFrame, l: int) -> DataFrame:
     return nodes.join(text, "read_id").withColumn("seq", F.when(F.col("rev"), reverse_complement(piece)).otherwise(piece)).drop("text")
 
 
-def tail(l: int | None = None):
+def tail() -> Column:
     """What a node adds behind its predecessor: read forwards the last shift_r bases, read backwards the complement of its first
     shift_l bases."""
-    del l
     n = F.length("seq")
     fwd = F.when(F.col("shift_r") > 0, F.col("seq").substr(n - F.col("shift_r") + 1, F.col("shift_r"))).otherwise("")
     back = F.when(F.col("shift_l") > 0, reverse_complement(F.col("seq").substr(F.lit(1), F.col("shift_l")))).otherwise("")
@@ -44,6 +43,34 @@ def contigs(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return per.select(F.col("unitig").alias("name"), F.array_join(F.transform("parts", lambda x: x["piece"]), "").alias("seq"), "n_nodes", "mean_abundance")
 
 
+def unitig_minimizers(paths: DataFrame, nodes: DataFrame, min_abundance: int | None = None) -> DataFrame:
+    """unitig, minims: the minimizers along each path; the first node gives all of its list, each later one its last element.
+
+    `nodes` is (node_id, kmer, abundance).  Paths with an unknown node are left out, with `min_abundance` also those without any node of more.
+    """
+    own = F.when(F.col("o") == "+", F.col("kmer")).otherwise(F.reverse("kmer"))
+    piece = F.when(F.col("ord") == 0, own).otherwise(F.slice(own, -1, 1))
+    rows = paths.join(nodes.select("node_id", "kmer", "abundance"), "node_id", "left").select("unitig", "ord", "abundance", piece.alias("piece"))
+    parts = F.array_sort(F.collect_list(F.struct("ord", "piece")))
+    per = rows.groupBy("unitig").agg(parts.alias("parts"), F.count_if(F.col("piece").isNull()).alias("unknown"), F.max("abundance").alias("most"))
+    kept = per.where("unknown = 0" if min_abundance is None else (F.col("unknown") == 0) & (F.col("most") > min_abundance))
+    return kept.select("unitig", F.flatten(F.transform("parts", lambda x: x["piece"])).alias("minims"))
+
+
+def stepped_contigs(chains: DataFrame, nodes: DataFrame, k: int, l: int) -> DataFrame:
+    """unitig, seq from chains (unitig, minims) and nodes (kmer, seq): the bases of every window that begins where the last one ends, each
+    without the l letters that it shares with it.  What is left behind the last whole window has no bases; chains with
+    an unknown window are left out."""
+    w = F.slice("minims", F.col("step") * (k - 1) + 1, k)
+    steps = F.sequence(F.lit(0), F.floor((F.size("minims") - k) / (k - 1)).cast("int"))
+    rows = chains.where(F.size("minims") >= k).select("unitig", "minims", F.explode(steps).alias("step")).select("unitig", "step", w.alias("w"), canonical(w).alias("kmer"))
+    found = rows.join(nodes.select("kmer", "seq"), "kmer", "left")
+    text = F.when(F.col("w") == F.col("kmer"), F.col("seq")).otherwise(reverse_complement("seq"))
+    piece = F.when(F.col("step") == 0, text).otherwise(F.substr(text, F.lit(l + 1)))
+    per = found.groupBy("unitig").agg(F.array_sort(F.collect_list(F.struct("step", piece.alias("piece")))).alias("parts"), F.count_if(F.col("seq").isNull()).alias("unknown"))
+    return per.where("unknown = 0").select("unitig", F.array_join(F.transform("parts", lambda x: x["piece"]), "").alias("seq"))
+
+
 def unitig_stats(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """unitig, n_nodes, bases, total_abundance, mean_abundance from (node_id, seqlen, shift_l, shift_r, abundance): the first node
     counts whole, later ones with what they add."""

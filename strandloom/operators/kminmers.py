@@ -61,10 +61,17 @@ def nodes(lists: DataFrame, k: int, min_abundance: int = 2, strict: bool = True)
 
 
 def node_ids(found: DataFrame) -> DataFrame:
-    """Adds node_id, a 64-bit hash of the k-min-mer: the same in every run and partition."""
+    """Adds node_id, a 64-bit hash of the k-min-mer: the same in every run and partition.  See `checked_ids`."""
     return found.withColumn("node_id", F.xxhash64("kmer"))
 
 
+def checked_ids(nodes: DataFrame) -> DataFrame:
+    """`nodes`, of which each k-min-mer has one row; fails if two of them have one node_id."""
+    if not nodes.groupBy("node_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("two k-min-mers have one hash")
+    return nodes
+
+
 def read_stats(lists: DataFrame, known: DataFrame, k: int, strict: bool = True) -> DataFrame:
     """read_id, counts array<bigint>: abundance of each of a read's windows in order, 0 for unknown ones."""
     occ = occurrences(lists, k, strict).select("read_id", "i", "kmer")
@@ -84,6 +91,12 @@ def hits(targets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return t.join(q, "kmer").select("target_id", "pos", "query_id", "query_pos")
 
 
+def node_hits(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """target_id (`*`), query_id, query_pos: windows of the queries that a graph's nodes (kmer) hold, whose places are not known."""
+    q = occurrences(queries, k, strict=False).select(F.col("read_id").alias("query_id"), F.col("i").alias("query_pos"), "kmer")
+    return q.join(nodes.select(canonical(F.col("kmer")).alias("kmer")).distinct(), "kmer", "left_semi").select(F.lit("*").alias("target_id"), "query_id", "query_pos")
+
+
 def hit_windows(targets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """target_id, pos, n_hits: each window of a target that queries hold in either direction, with its occurrences among them.
 

@@ -92,7 +92,7 @@ def dictionary(counts: DataFrame, l: int, density: float, low: int = 0, high: in
     kept = lmer_hashes(counts.where((F.col("n") > low) & (F.col("n") < high)), l)
     canonical = F.least("lmer", reverse_complement("lmer"))
     # a density of at most 0.5 keeps hashes inside bigint, so larger ones are negative here
-    return kept.where((F.col("minim") >= 0) & (F.col("minim") <= F.lit(int(K.density_bound(density))))).select(canonical.alias("lmer"), "minim").distinct()
+    return kept.where((F.col("minim") >= 0) & (F.col("minim") <= F.lit(min(int(K.density_bound(density)), (1 << 63) - 1)))).select(canonical.alias("lmer"), "minim").distinct()
 
 
 def every_lmer(spark: SparkSession, l: int) -> DataFrame:

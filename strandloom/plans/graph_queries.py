@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
-from strandloom.operators import analytics, basespace, graph
+from strandloom.operators import analytics, basespace, correct, graph
 from strandloom.session import saved, table
 from strandloom.sources import formats
 
@@ -122,6 +122,19 @@ def simplified_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.without_unitigs(e, paths, gone)
 
 
+def unitig_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimizers along each path of known nodes of which one has an abundance above 2."""
+    return basespace.unitig_minimizers(_paths(spark, sf_dir), nodes(spark, sf_dir), min_abundance=2)
+
+
+def link_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given links held against the overlap graph, as recruits of each node against its true ones: number and mean distances."""
+    pairs = lambda e: graph.both_sides(e).where("n1 <> n2").select(F.col("n1").alias("template"), F.col("n2").alias("recruit"))
+    own = nodes(spark, sf_dir).where("abundance IS NOT NULL AND seqlen IS NOT NULL")
+    found = correct.retrieval_distances(pairs(links(spark, sf_dir)), pairs(graph.edges(own, K)), own.select(F.col("node_id").alias("id"), F.col("kmer").alias("minims")))
+    return found.select("template", "kind", "n", F.round("jaccard", 9).alias("jaccard"), F.round("mash", 9).alias("mash"))
+
+
 def repaired_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links whose overlap fits both ends."""
     return basespace.repair_overlaps(links(spark, sf_dir), nodes(spark, sf_dir).where("seqlen IS NOT NULL"))
@@ -158,7 +171,7 @@ def event_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     node_table, mdbg_edges, mdbg_edges_presimp, overlap_members, overlap_classes, break_loops, node_degrees, graph_components, largest_components, subgraph_abundant, unitigs, unitig_stats,
-    unitig_n50, unitig_samples, graph_tips, graph_bubbles, simplified_links, repaired_overlaps, gfa_text, node_abundance, link_distances, event_overlaps,
+    unitig_n50, unitig_samples, graph_tips, graph_bubbles, simplified_links, unitig_minimizers, link_retrieval, repaired_overlaps, gfa_text, node_abundance, link_distances, event_overlaps,
 )}
 
 NODES = """node AS (SELECT node_id, any_value(kmer) AS kmer, max(abundance) AS abundance, max(seqlen) AS seqlen, max(shift_l) AS shift_l, max(shift_r) AS shift_r
@@ -226,7 +239,28 @@ unitig AS (SELECT concat(head // 2, CASE head % 2 WHEN 0 THEN '+' ELSE '-' END)
 stats AS (SELECT unitig, count(*) AS n_nodes, CAST(sum(CASE WHEN ord = 0 THEN seqlen WHEN o = '+' THEN shift_r ELSE shift_l END) AS BIGINT) AS bases,
   CAST(sum(abundance) AS BIGINT) AS total_abundance, sum(abundance) / count(*) AS mean_abundance FROM unitig JOIN node USING (node_id) WHERE seqlen IS NOT NULL GROUP BY unitig)"""
 
+_GONE = f"""{_UNITIGS}, fl(f) AS (SELECT '+' UNION ALL SELECT '-'),
+endp AS (SELECT unitig, arg_min(node_id, ord) AS fn, arg_min(o, ord) AS fo, arg_max(node_id, ord) AS ln, arg_max(o, ord) AS lo, count(*) AS n_nodes, coalesce(sum(seqlen), 0) AS len FROM unitig LEFT JOIN node USING (node_id) GROUP BY unitig),
+tip AS (SELECT unitig FROM endp WHERE n_nodes <= {TIP_NODES} AND len <= {TIP_LENGTH}
+  AND EXISTS (SELECT 1 FROM both_sides WHERE n1 = fn AND o1 <> fo) <> EXISTS (SELECT 1 FROM both_sides WHERE n1 = ln AND o1 = lo)),
+prev AS (SELECT n2, o2, any_value(n1 * 2 + CAST(o1 = '-' AS INT)) AS a FROM both_sides GROUP BY n2, o2 HAVING count(*) = 1),
+foll AS (SELECT n1, o1, any_value(n2 * 2 + CAST(o2 = '-' AS INT)) AS z FROM both_sides GROUP BY n1, o1 HAVING count(*) = 1),
+arm AS (SELECT unitig, least([a, z], [xor(z, 1), xor(a, 1)]) AS key, bases, mean_abundance FROM endp JOIN prev ON fn = n2 AND fo = o2 JOIN foll ON ln = n1 AND lo = o1 JOIN stats USING (unitig)),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY key) AS sides, row_number() OVER (PARTITION BY key ORDER BY mean_abundance DESC NULLS LAST, bases DESC NULLS LAST, unitig DESC) AS place FROM arm),
+bubble AS (SELECT unitig FROM ranked WHERE sides > 1 AND place > 1 AND bases <= {BUBBLE_LENGTH}),
+gone AS (SELECT DISTINCT node_id FROM unitig WHERE unitig IN (SELECT unitig FROM tip UNION SELECT unitig FROM bubble))"""
+
 ORACLES |= {
+    "graph_tips": f"WITH {_GONE} SELECT unitig FROM tip",
+    "graph_bubbles": f"WITH {_GONE} SELECT unitig FROM bubble",
+    "simplified_links": f"WITH {_GONE} SELECT n1, o1, n2, o2 FROM both_sides WHERE n1 NOT IN (SELECT node_id FROM gone) AND n2 NOT IN (SELECT node_id FROM gone)",
+    "unitig_minimizers": f"""WITH {_UNITIGS}, pc AS (SELECT unitig, ord, abundance, kmer, CASE WHEN o = '+' THEN kmer ELSE list_reverse(kmer) END AS w FROM unitig LEFT JOIN node USING (node_id))
+SELECT unitig, flatten(list(CASE WHEN ord = 0 THEN w ELSE w[-1:] END ORDER BY ord)) AS minims FROM pc GROUP BY unitig HAVING count(*) = count(kmer) AND max(abundance) > 2""",
+    "link_retrieval": f"""WITH {_CANDIDATES}, own2 AS (SELECT n1, n2 FROM edges WHERE n1 <> n2 AND o1 IN ('+', '-') AND o2 IN ('+', '-')), f AS (SELECT n1, n2 FROM own2 UNION SELECT n2, n1 FROM own2),
+tr AS (SELECT n1, n2 FROM e WHERE n1 <> n2 UNION SELECT n2, n1 FROM e WHERE n1 <> n2),
+pr AS (SELECT n1, n2, CASE WHEN f.n1 IS NULL THEN 'fn' WHEN tr.n1 IS NULL THEN 'fp' ELSE 'tp' END AS kind FROM f FULL JOIN tr USING (n1, n2)),
+x AS (SELECT n1, kind, len(list_intersect(a.kmer, b.kmer)) / len(list_distinct(list_concat(a.kmer, b.kmer))) AS j FROM pr JOIN u a ON n1 = a.node_id JOIN u b ON n2 = b.node_id)
+SELECT n1 AS template, kind, count(*) AS n, round(avg(1 - j), 9) AS jaccard, round(avg(CASE WHEN j = 0 THEN 1.0 ELSE -ln(2 * j / (1 + j)) / 10 END), 9) AS mash FROM x GROUP BY n1, kind""",
     "unitigs": f"WITH {_UNITIGS} SELECT unitig, ord, node_id, o FROM unitig",
     "unitig_stats": f"WITH {_UNITIGS} SELECT * FROM stats",
     "unitig_n50": f"""WITH {_UNITIGS}, run AS (SELECT bases, sum(bases) OVER (ORDER BY bases DESC, unitig) AS upto, sum(bases) OVER () AS total FROM stats WHERE bases IS NOT NULL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,16 @@ class Assembly:
     nodes: DataFrame
     edges: DataFrame
     paths: DataFrame
-    contigs: DataFrame
+    contigs: DataFrame | None
+
+
+def metrics(done: Assembly) -> DataFrame:
+    """name, value: sizes of an assembly's parts; contigs are None where it has none."""
+    own = [("nodes", done.nodes), ("edges", done.edges), ("paths", done.paths.select("unitig").distinct())] + ([("contigs", done.contigs)] if done.contigs is not None else [])
+    rows = [f.agg(F.count("*").alias("value")).select(F.lit(n).alias("name"), "value") for n, f in own]
+    if done.contigs is not None:
+        rows.append(done.contigs.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("value")).select(F.lit("bases").alias("name"), "value"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 #: Bases of the graph above which a further series of rounds follows, and above which an aggressive one does; for each round of a
@@ -71,24 +81,25 @@ def simplified(links: DataFrame, nodes: DataFrame, tip_nodes: int, tip_length: i
     return links, nodes
 
 
-def assemble(reads: DataFrame, p: Params, tip_nodes: int = 10, tip_length: int = 0, bubble_length: int = 0, rounds: int = 1, weighted: bool = False) -> Assembly:
+def assemble(reads: DataFrame, p: Params, tip_nodes: int = 10, tip_length: int = 0, bubble_length: int = 0, rounds: int = 1, weighted: bool = False, base_space: bool = True) -> Assembly:
     """Nodes, edges, maximal paths and contigs of reads (read_id, seq).
 
     With tip_length or bubble_length above 0, the graph is cleaned (`simplified`) before the final paths.  `weighted` takes
-    every row as its own read (contigs given twice then count twice); otherwise each read_id counts once.
+    every row as its own read (contigs given twice then count twice); otherwise each read_id counts once.  Without `base_space` there are no
+    contigs.
     """
     if weighted:
         own = written(reads.where("read_id IS NOT NULL AND seq IS NOT NULL").select("read_id", "seq"))
     else:
         own = minspace.reads_once(reads)
     lists = minspace.minimizers(own, p)
-    nodes = written(kminmers.node_ids(kminmers.nodes(lists, p.k, p.min_abundance, p.strict)))
+    nodes = kminmers.checked_ids(written(kminmers.node_ids(kminmers.nodes(lists, p.k, p.min_abundance, p.strict))))
     edges = written(graph.edges(nodes, p.k, p.presimp))
     links = graph.both_sides(edges)
     if tip_length or bubble_length:
         links, nodes = simplified(links, nodes, tip_nodes, tip_length, bubble_length, rounds)
     paths = written(graph.unitigs(links, nodes))
-    contigs = basespace.contigs(paths, basespace.node_sequences(nodes, own, p.l))
+    contigs = basespace.contigs(paths, basespace.node_sequences(nodes, own, p.l)) if base_space else None
     return Assembly(nodes, edges, paths, contigs)
 
 

@@ -148,6 +148,11 @@ def subread_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kminmers.hit_windows(ccs, sub, K)
 
 
+def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of subreads that nodes of the graph hold."""
+    return kminmers.node_hits(table(spark, sf_dir, "nodes").where("kmer IS NOT NULL"), _kinds(spark, sf_dir)[1], K)
+
+
 def kminmer_set_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct windows of consensus reads and of subreads, and what they share."""
     ccs, sub = _kinds(spark, sf_dir)
@@ -181,6 +186,16 @@ def similar_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.similar_lists(lists(spark, sf_dir)).select("read_id", "n_links")
 
 
+def labelled_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal lists that an earlier class would label as corrected, each labelling its three nearest."""
+    return correct.left_out(correct.recruits(lists(spark, sf_dir)), 3)
+
+
+def assembly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the graph of the reads, without base space."""
+    return pipeline.metrics(pipeline.assemble(table(spark, sf_dir, "reads"), DENSITY, base_space=False))
+
+
 def corrected_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads after consensus with similar reads: minimizers before and after, identity of the new sequence with the old."""
     own = reads(spark, sf_dir).select("read_id", dna.clean_seq("seq").alias("seq"))
@@ -204,8 +219,8 @@ def run_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     read_lengths, hpc_reads, revcomp_reads, base_composition, minimizers_density, minimizers_syncmer, minimizers_uhs, minimizers_lcp, minimizers_counted, dictionary_sizes, lmer_counts, robust_minimizers, dictionary_minimizers,
-    kminmer_counts, kminmer_nodes, read_stats, subread_coverage, subread_hits, kminmer_set_compare, abundance_histogram, mappability, ngram_successors,
-    minimizer_spacing, similar_reads, corrected_reads, assembled_contigs, run_reads,
+    kminmer_counts, kminmer_nodes, read_stats, subread_coverage, subread_hits, graph_hits, kminmer_set_compare, abundance_histogram, mappability, ngram_successors,
+    minimizer_spacing, similar_reads, labelled_lists, corrected_reads, assembled_contigs, assembly_metrics, run_reads,
 )}
 
 
@@ -290,6 +305,8 @@ SELECT read_id AS query_id, count(*) AS n_kminmers, count(held.kmer) AS covered,
 FROM occ LEFT JOIN held USING (kmer) WHERE read_id LIKE '%/sub' GROUP BY read_id""",
     "subread_hits": f"""WITH {_windows(K, False)}, q AS (SELECT kmer, count(*) AS n_hits FROM occ WHERE read_id LIKE '%/sub' GROUP BY kmer)
 SELECT read_id AS target_id, CAST(i AS INTEGER) AS pos, n_hits FROM occ JOIN q USING (kmer) WHERE read_id LIKE '%/ccs'""",
+    "graph_hits": f"""WITH {_windows(K, False)} SELECT '*' AS target_id, read_id AS query_id, CAST(i AS INTEGER) AS query_pos FROM occ
+WHERE read_id LIKE '%/sub' AND kmer IN (SELECT least(kmer, list_reverse(kmer)) FROM nodes WHERE kmer IS NOT NULL)""",
     "kminmer_set_compare": f"""WITH {_windows(K)}, g AS (SELECT kmer, max(CAST(read_id LIKE '%/ccs' AS BIGINT)) AS a, max(CAST(read_id LIKE '%/sub' AS BIGINT)) AS b FROM occ GROUP BY kmer)
 SELECT CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b, CAST(sum(a * b) AS BIGINT) AS n_both, 100 * sum(a * b) / sum(a) AS pct_a_in_b, 100 * sum(a * b) / sum(b) AS pct_b_in_a FROM g""",
     "abundance_histogram": f"""WITH {_windows(K)}, s AS (SELECT kmer, count(*) AS n FROM occ WHERE read_id LIKE '%/sub' GROUP BY kmer), t AS (SELECT DISTINCT kmer FROM occ WHERE read_id LIKE '%/ccs')

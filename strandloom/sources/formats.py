@@ -1,16 +1,24 @@
 """File formats of sequence graphs and reads: readers and writers as DataFrame operations.
 
 Readers accept what Spark's text source accepts (files, folders, globs; gzip by suffix).  Malformed lines of a format are left out.
-LZ4 frames are read where a decoder can be imported, and refused with a clear error elsewhere.
+LZ4 frames are decoded in tasks, as Spark's own codec reads another framing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom import session
 from strandloom.functions.dna import fold, reverse_complement, shown
 
+#: Bytes that a decoder takes at a time.
+PIECE = 1 << 20
+
 
 def looks_like_fasta(name: str) -> bool:
     """FASTA by file name, with or without a compression suffix; any other name is FASTQ."""
@@ -27,6 +35,13 @@ def compression(name: str) -> str:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """read_id (first word of the header), seq (line breaks removed).  Records are split at line starts with `>`; as the separator
     is part of the split, one file may be read by many tasks."""
+    if compression(path) == "lz4":
+        lines = lz4_lines(spark, path).withColumn("head", F.col("line").startswith(">"))
+        # a record is what follows a header in its file; one task has each file already
+        lines = lines.withColumn("r", F.sum(F.col("head").cast("int")).over(Window.partitionBy("file").orderBy("n"))).where("r > 0")
+        parts = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("n", "line"))))
+        records = lines.groupBy("file", "r").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("h"), F.array_join(F.transform(parts, lambda x: x["line"]), "").alias("seq"))
+        return records.select(F.split(F.expr("substring(h, 2)"), r"\s").getItem(0).alias("read_id"), "seq").where("read_id <> ''")
     raw = spark.read.option("lineSep", "\n>").text(path)
     head = F.regexp_replace(F.substring_index("value", "\n", 1), "^>|\r", "")
     body = F.when(F.instr("value", "\n") > 0, F.regexp_replace(F.expr("substring(value, instr(value, '\n') + 1)"), r"[\r\n]", "")).otherwise("")
@@ -48,14 +63,44 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return read.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("n"), "line")
 
 
+def lz4_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, n (from 0), line of text files in LZ4 frames, decoded piece by piece in the task that has the file; frames cannot be split, so
+    give several files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in (x for batch in batches for x in batch.column(0).to_pylist()):
+            system, where = fs.FileSystem.from_uri(name)
+            n, rest = 0, b""
+            with system.open_input_stream(where, compression=None) as raw, pa.CompressedInputStream(raw, "lz4") as text:
+                while True:
+                    block = text.read(PIECE)
+                    *lines, rest = (rest + block).split(b"\n")
+                    if not block and rest:
+                        lines, rest = [*lines, rest], b""
+                    if lines:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name] * len(lines)), pa.array(range(n, n + len(lines)), pa.int64()), pa.array([x.decode("utf-8", "replace").removesuffix("\r") for x in lines], pa.string())],
+                            names=["file", "n", "line"],
+                        )
+                        n += len(lines)
+                    if not block:
+                        break
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(session.tasks(spark)).mapInArrow(run, "file string, n bigint, line string")
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, n, line of text files, plain, gzip or LZ4 by suffix."""
+    return lz4_lines(spark, path) if compression(path) == "lz4" else numbered_lines(spark, path)
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """read_id, seq of 4-line records.
 
     A record cannot be told from a line alone, as a quality line may begin like a header; so lines are grouped by their numbers.
     """
-    if compression(path) == "lz4":
-        raise ValueError("unpack LZ4 frames first: Spark's codec reads another framing")
-    lines = numbered_lines(spark, path)
+    lines = text_lines(spark, path)
     records = lines.groupBy("file", F.floor(F.col("n") / 4).alias("r")).agg(
         F.max(F.when(F.col("n") % 4 == 0, F.col("line"))).alias("head"), F.max(F.when(F.col("n") % 4 == 1, F.col("line"))).alias("seq")
     )
@@ -138,7 +183,8 @@ def sequence_lines(nodes: DataFrame) -> DataFrame:
 
 def read_sequence_lines(spark: SparkSession, path: str) -> DataFrame:
     """node_id, kmer, seq, shift_l, shift_r; lines that begin with # are comments."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"))
+    lines = lz4_lines(spark, path).select("line") if compression(path) == "lz4" else spark.read.text(path).select(F.col("value").alias("line"))
+    rows = lines.where(~F.col("line").startswith("#")).select(F.split("line", "\t").alias("f"))
     shift = lambda i: F.regexp_extract(_field(5), r"\((\d+), *(\d+)\)", i).try_cast("int")
     return rows.select(
         _field(0).try_cast("bigint").alias("node_id"), F.from_json(_field(1), "array<bigint>").alias("kmer"), _field(2).alias("seq"), shift(1).alias("shift_l"), shift(2).alias("shift_r")
@@ -192,6 +238,28 @@ def read_recruits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(_field(0).alias("template"), F.explode(F.expr("slice(f, 2, size(f))")).alias("recruit")).where("recruit <> ''")
 
 
+def subgraph_of(segments: DataFrame, paths: DataFrame, links: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments (name), path lines (unitig) and links (n1, n2) of the segments in `names` (name); a link needs both of its ends."""
+    key = lambda c: names.select(F.col("name").alias(c)).distinct()
+    both = links.join(key("n1"), "n1", "left_semi").join(key("n2"), "n2", "left_semi").select(*links.columns)
+    return segments.join(key("name"), "name", "left_semi"), paths.join(key("unitig"), "unitig", "left_semi"), both
+
+
+def read_n50_logs(spark: SparkSession, path: str) -> DataFrame:
+    """cvg, k, l, d, n50 of logs: each N50 with the parameters in the file name of the `assembly:` line before it.
+
+    The name's numbers are k, l, 0, d; after a coverage (1, or 0 and its decimals) if there are five or six of them.
+    """
+    lines = text_lines(spark, path).withColumn("x", F.regexp_extract_all(F.regexp_replace("line", r"\.n50\s*$", ""), F.lit("[0-9]+"), F.lit(0)))
+    size = F.size("x")
+    at = lambda i: F.get("x", size + F.lit(i))
+    cvg = F.when(size == 6, F.concat(F.lit("0."), F.get("x", F.lit(1)))).when(size == 5, F.get("x", F.lit(0)))
+    named = F.struct(cvg.cast("double").alias("cvg"), at(-4).cast("int").alias("k"), at(-3).cast("int").alias("l"), F.concat(F.lit("0."), at(-1)).cast("double").alias("d"))
+    known = F.when(F.col("line").contains("assembly:") & size.between(4, 6), named)
+    rows = lines.withColumn("p", F.last(known, ignorenulls=True).over(Window.partitionBy("file").orderBy("n")))
+    return rows.where(F.col("line").contains("N50:")).select("p.*", F.substring_index("line", ":", -1).try_cast("bigint").alias("n50"))
+
+
 def truth_interval(name: Column) -> tuple[Column, Column]:
     """Start and end that simulated reads carry as the third and fourth part of their name."""
     parts = F.split(name, "_")

@@ -1,12 +1,16 @@
 """Core operators against brute force on small tables."""
 
+import math
 import random
 from collections import Counter, defaultdict
+from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom import consensus
+from strandloom import consensus, kernels
 from strandloom.functions import dna
 from strandloom.kernels import reverse_complement
 from strandloom.operators import analytics, basespace, correct, graph, kminmers, minspace
@@ -402,8 +406,16 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "b.fq").write_text("@r1 y\nACGT\n+\n@@@@\n@r2\nGG\n+\nII\n")
     assert rows(formats.read_reads(spark, str(tmp_path / "b.fq"))) == [("r1", "ACGT"), ("r2", "GG")]
     assert formats.looks_like_fasta("x.fasta.gz") and not formats.looks_like_fasta("x.fastq.lz4") and formats.compression("x.lz4") == "lz4"
-    with pytest.raises(ValueError):
-        formats.read_fastq(spark, "x.fq.lz4")
+    for name, text in (("a.fa", "a.fa"), ("b.fq", "b.fq")):
+        with pa.CompressedOutputStream(str(tmp_path / f"{name}.lz4"), "lz4") as f:
+            f.write((tmp_path / text).read_bytes())
+    assert rows(formats.read_reads(spark, str(tmp_path / "a.fa.lz4"))) == [("r1", "ACGTAC"), ("r2", ""), ("r3", "GG>T")]
+    assert rows(formats.read_reads(spark, str(tmp_path / "b.fq.lz4"))) == [("r1", "ACGT"), ("r2", "GG")]
+    many = "".join(f"line {i}\n" * 3 for i in range(100_000)) + "end"
+    with pa.CompressedOutputStream(str(tmp_path / "many.txt.lz4"), "lz4") as f:
+        f.write(many.encode())
+    lines = formats.lz4_lines(spark, str(tmp_path / "many.txt.lz4"))
+    assert lines.count() == 300_001 and lines.where("n = 299999 OR n = 300000").sort("n").select("line").collect() == [("line 99999",), ("end",)]
     (tmp_path / "c.txt").write_text("Parsing x\nid1 5 6\na: b\nid2 7\n")
     assert rows(formats.read_minspace_text(spark, str(tmp_path / "c.txt"))) == [("id1", [5, 6]), ("id2", [7])]
     (tmp_path / "d.txt").write_text("ACC 5\nGGT 7\nbad\n")
@@ -430,6 +442,120 @@ def test_large_files_are_read_in_blocks(spark, tmp_path):
             spark.conf.set(x, y)
 
 
+def test_n50_logs_and_subgraphs(spark, tmp_path):
+    (tmp_path / "x.n50").write_text("assembly:/scratch/run-K11-L10-D0.001.msimpl.fa\nlargest:9\nN50:219850\nN90:7\nassembly:a/0.25-K31-L12-D0.003.fa\nN50:10\nassembly:1-K8-L12-D0.002.fa.n50\nN50:5\n")
+    assert rows(formats.read_n50_logs(spark, str(tmp_path / "x.n50")).na.fill(-1)) == [(-1, 11, 10, 0.001, 219850), (0.25, 31, 12, 0.003, 10), (1, 8, 12, 0.002, 5)]
+    s, p = spark.createDataFrame([("a",), ("b",), ("c",)], "name string"), spark.createDataFrame([("a", 1), ("c", 2)], "unitig string, x int")
+    e = spark.createDataFrame([("a", "b"), ("b", "c")], "n1 string, n2 string")
+    out = formats.subgraph_of(s, p, e, spark.createDataFrame([("a",), ("b",), ("b",), ("z",)], "name string"))
+    assert [rows(x) for x in out] == [[("a",), ("b",)], [("a", 1)], [("a", "b")]]
+
+
+def test_minimizers_and_bases_along_a_path(spark):
+    seq = dna_text(60, 5)
+    at, k, l = [0, 5, 11, 20, 26, 33, 40, 47], 4, 6  # windows of k elements begin at these letters
+    minims = [100 + i for i in range(8)]
+    kmers = [minims[i : i + k] for i in range(5)]
+    node = [(i, min(w, w[::-1]), 3 - i, seq[at[i] : at[i + k - 1] + l]) for i, w in enumerate(kmers)]
+    node[3] = (3, kmers[3][::-1], 0, kernels.reverse_complement(node[3][3]))  # stored the other way round
+    nodes = spark.createDataFrame(node, "node_id bigint, kmer array<bigint>, abundance bigint, seq string")
+    path = [("u", i, i, "-" if i == 3 else "+") for i in range(5)] + [("v", 0, 9, "+"), ("w", 0, 3, "+")]
+    paths = spark.createDataFrame(path, "unitig string, ord bigint, node_id bigint, o string")
+    chains = basespace.unitig_minimizers(paths, nodes)
+    assert rows(chains) == [("u", minims), ("w", kmers[3][::-1])]
+    assert rows(basespace.unitig_minimizers(paths, nodes, 0)) == [("u", minims)]
+    node[3] = (3, kmers[3], 0, seq[at[3] : at[6] + l])
+    whole = spark.createDataFrame(node, "node_id bigint, kmer array<bigint>, abundance bigint, seq string")
+    # windows 0 and 3 cover the elements 0 to 6
+    got = dict(rows(basespace.stepped_contigs(spark.createDataFrame([("u", minims), ("r", minims[:4][::-1]), ("x", [1, 2, 3, 4]), ("s", [1])], "unitig string, minims array<bigint>"), whole, k, l)))
+    assert got == {"u": seq[: at[6] + l], "r": kernels.reverse_complement(seq[: at[3] + l])}
+
+
+def test_labelled_templates_are_left_out(spark):
+    rng = random.Random(4)
+    data = [(i, j, rng.random()) for i in range(40) for j in rng.sample(range(40), 5) if i != j]
+    df = spark.createDataFrame(data, "class_id bigint, other bigint, dist double")
+    for threshold in (0, 1, 3):
+        out = set()
+        for i in range(40):
+            if i not in out:
+                out |= {j for _, j in sorted((d, j) for a, j, d in data if a == i)[:threshold] if j > i}
+        assert {r[0] for r in correct.left_out(df, threshold).collect()} == out
+
+
+def test_retrieval_distances(spark):
+    lists = spark.createDataFrame([("t", [1, 2]), ("a", [1, 2]), ("b", [2, 3]), ("c", [9])], "id string, minims array<bigint>")
+    found = spark.createDataFrame([("t", "a"), ("t", "b"), ("t", "a")], "template string, recruit string")
+    truth = spark.createDataFrame([("t", "a"), ("t", "c"), ("t", "gone")], "template string, recruit string")
+    got = {r.kind: (r.n, round(r.jaccard, 6), round(r.mash, 6)) for r in correct.retrieval_distances(found, truth, lists).collect()}
+    assert got == {"tp": (1, 0.0, 0.0), "fp": (1, round(2 / 3, 6), round(0.1 * math.log(2), 6)), "fn": (1, 1.0, 1.0)}
+
+
+def test_identity_and_template_ends_match_whole_tables():
+    def whole(a, b):
+        best = 0.0
+        for x in (a, kernels.reverse_complement(a)):
+            t = [[0] * (len(b) + 1)] + [[-(i + 1)] + [0] * len(b) for i in range(len(x))]
+            for i in range(1, len(x) + 1):
+                for j in range(1, len(b) + 1):
+                    t[i][j] = max(t[i - 1][j - 1] + (1 if x[i - 1] == b[j - 1] else -1), t[i - 1][j] - 1, t[i][j - 1] - 1)
+            i, j = len(x), max(range(len(b) + 1), key=lambda c: (t[-1][c], -c))
+            same = columns = 0
+            while i:
+                columns += 1
+                if j and t[i][j] == t[i - 1][j - 1] + (1 if x[i - 1] == b[j - 1] else -1):
+                    same, i, j = same + (x[i - 1] == b[j - 1]), i - 1, j - 1
+                elif t[i][j] == t[i - 1][j] - 1:
+                    i -= 1
+                else:
+                    j -= 1
+            best = max(best, same / columns)
+        return best
+
+    def affine(a, b):
+        low = -(10**9)
+        t = [[(0, low, low)] * (len(b) + 1)]
+        for i in range(1, len(a) + 1):
+            row = [(-1 - i, -1 - i, low)]
+            for j in range(1, len(b) + 1):
+                d, r = max(t[-1][j][0] - 2, t[-1][j][1] - 1), max(row[-1][0] - 2, row[-1][2] - 1)
+                row.append((max(t[-1][j - 1][0] + (1 if a[i - 1] == b[j - 1] else -1), d, r), d, r))
+            t.append(row)
+        return [x[0] for x in t[-1]]
+
+    rng = random.Random(9)
+    for _ in range(60):
+        a, b = ("".join(rng.choice("ACG") for _ in range(rng.randint(1, 14))) for _ in "ab")
+        if a not in b:
+            assert consensus.identity(a, b) == whole(a, b), (a, b)
+        x, y = (np.frombuffer(s.encode(), dtype=np.uint8) for s in (a, b))
+        assert consensus.pair_scores(x, y).tolist() == affine(a, b), (a, b)
+
+
+def test_schemes_over_lists_of_lmers(spark):
+    text = dna_text(400, 3)
+    reads = spark.createDataFrame([("a", text), ("b", text[:100] + "N" + text[100:]), ("c", ""), ("d", "ACGT")], "read_id string, seq string")
+    p = Params(k=3, l=8, density=0.5)
+    every = {r.read_id: r for r in minspace.minimizers(reads, p).collect()}
+    data, at, _ = kernels.collapse(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]))
+    hpc = data.tobytes().decode()
+    words = [hpc[i : i + 8] for i in range(0, len(hpc) - 7, 3)]
+    some = spark.createDataFrame([(w if i % 2 else kernels.reverse_complement(w) + "GG",) for i, w in enumerate(words)] + [("AC",), (None,)], "lmer string")
+    starts = [i for i in range(len(hpc) - 7) if {hpc[i : i + 8], kernels.reverse_complement(hpc[i : i + 8])} & set(words)]
+    uhs = {r.read_id: r for r in minspace.minimizers(reads, replace(p, scheme="uhs"), some).collect()}
+    lcp = {r.read_id: r for r in minspace.minimizers(reads, replace(p, scheme="lcp"), some).collect()}
+    assert set(uhs["a"].pos) <= set(starts) and uhs["a"] == lcp["a"] and uhs["c"].minims == uhs["d"].minims == []
+    known = {r.minim for r in minspace.lmer_hashes(some, 8).collect()}
+    own = minspace.minimizers(reads, p, some).where("read_id = 'a'").first()
+    assert own.minims == [h for h in every["a"].minims if h in known] == uhs["a"].minims and own.minims
+    with pytest.raises(ValueError):
+        minspace.minimizers(reads, replace(p, scheme="uhs"))
+    counts = spark.createDataFrame([("ACGTACGT", 5), ("AAAACCCC", 2), ("GGGGTTTT", 1), ("ACACACAC", 9)], "lmer string, n bigint")
+    kept = minspace.dictionary(counts, 8, 0.5, low=1, high=9)
+    assert {r.lmer for r in kept.collect()} <= {"ACGTACGT", "AAAACCCC"} and minspace.dictionary_sizes(counts, kept, 1, 9).first().n_skipped == 2
+    assert minspace.every_lmer(spark, 3).count() == 32
+
+
 def test_graph_files_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([(1, [5, 6], 3, 40, "ACGT", 2, 3)], "node_id bigint, kmer array<bigint>, abundance bigint, seqlen bigint, seq string, shift_l int, shift_r int")
     e = links(spark, [(1, "+", 1, "-", 7)])
