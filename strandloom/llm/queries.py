@@ -91,8 +91,14 @@ def p4_shared_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuzzy passages: chains of shared windows, aligned against the partner read."""
-    return spans.fuzzy_passages(table(spark, sf_dir, "minspace"), "read_id", "minims", k=8, min_matched=12)
+    """Fuzzy passages: chains of shared windows of the reads whose arrival_no is divisible by 50, aligned against all other reads."""
+    return spans.fuzzy_passages(table(spark, sf_dir, "minspace"), "read_id", "minims", F.col("arrival_no") % 50 == 0, k=8, min_matched=12)
+
+
+def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of reads of each class of equal lists, under the smallest id of the class."""
+    members = spans.copies(table(spark, sf_dir, "minspace"), "read_id", "minims")
+    return members.groupBy("of").agg(F.min("id").alias("read_id"), F.count("*").alias("n_reads")).select("read_id", "n_reads")
 
 
 _P4 = f"""WITH {READ_ONCE},
@@ -170,6 +176,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_shared_part": p4_shared_part,
     "p4_passages": p4_passages,
+    "p4_copies": p4_copies,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
     "p6_found": p6_found,
@@ -185,6 +192,7 @@ WHERE records = 1 OR (records > share * n AND records >= 10)""",
     "p4_found": _P4 + " SELECT read_id, pos[a] AS start_pos, pos[z] AS end_pos FROM stretch JOIN once USING (read_id)",
     "p4_shared_part": _P4 + """ SELECT read_id, CAST(len(any_value(minims)) AS INTEGER) AS n_elements, CAST(sum(z - a + 1) AS BIGINT) AS n_shared,
 sum(z - a + 1) / len(any_value(minims)) AS share FROM stretch JOIN once USING (read_id) GROUP BY read_id""",
+    "p4_copies": f"WITH {READ_ONCE} SELECT min(read_id) AS read_id, count(*) AS n_reads FROM once WHERE len(minims) > 0 GROUP BY minims",
     "p5_found": _P5.format("field, item"),
     "p5_counts": _P5.format("field, item, n"),
     "p6_found": _P6 + " SELECT kind, arrival_no FROM r WHERE again",

@@ -7,14 +7,15 @@
 3. Each record chains its seeds with every partner: matched blocks in order, gap costs, a Fenwick tree for the best predecessor.
 4. A record's covered stretches are the union of its chained seeds.
 
-Passages need every pair of records, and every occurrence of a window, not one partner a seed:
+Passages are a search: a stated set of records, against all others, with every occurrence of a window and not one partner a seed:
 
-1. Two holders of a window give a row only where their common stretch begins or ends, as told by the elements beside the window; so
+1. Records with equal lists form a class; classes are searched, and each record has a row that names its class.
+2. Two holders of a window give a row only where their common stretch begins or ends, as told by the elements beside the window; so
    rows grow with the stretches of all pairs and not with their windows.
-2. Windows of one element only would pair most records with most others.  They are not paired: a run of such windows is a class row
+3. Windows of one element only would pair most records with most others.  They are not paired: a run of such windows is a class row
    (`run`), and any two rows of a class share just the shorter one.  Pairs with another stretch, or with two runs, in common get the
    blocks of their runs back before chaining.
-3. The blocks of each pair are chained and aligned; each passage is written from either side.
+4. The blocks of each pair are chained and aligned; each passage is written once, as the searched record sees it.
 
 Records whose list is null, shorter than k, or that have no id share nothing.  A null inside a list equals only a null.
 """
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.heavy import mix
@@ -373,13 +374,14 @@ def _pair_chains(k: int, gap_cost: float):
     return run
 
 
-def pair_chains(records: DataFrame, runs: DataFrame, k: int, gap_cost: float = 0.1) -> DataFrame:
-    """rec, partner (rec < partner), back, i0, i1, j0, j1, matched, blocks: chains of every pair of records that shares a window of more
-    than one element, or two runs of one element.  `runs` is (rec, runs)."""
-    windows = records.mapInArrow(_flanked(k), "h1 bigint, h2 int, rec bigint, at int, turned boolean, both boolean, prev bigint, next bigint")
-    a, b = windows.alias("a"), windows.alias("b")
+def pair_chains(records: DataFrame, runs: DataFrame, queries: DataFrame, k: int, gap_cost: float = 0.1) -> DataFrame:
+    """rec, partner, back, i0, i1, j0, j1, matched, blocks: chains of every pair of a record in `queries` (rec) and another one that shares a
+    window of more than one element, or two runs of one element.  `runs` is (rec, runs)."""
+    kinds = "h1 bigint, h2 int, rec bigint, at int, turned boolean, both boolean, prev bigint, next bigint"
+    a = records.join(queries, "rec", "left_semi").mapInArrow(_flanked(k), kinds).alias("a")
+    b = records.mapInArrow(_flanked(k), kinds).alias("b")
     differ = lambda c: F.coalesce(F.col(f"a.{c}") != F.col(f"b.{c}"), F.lit(True))
-    same = (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")) & (F.col("a.rec") < F.col("b.rec"))
+    same = (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")) & (F.col("a.rec") != F.col("b.rec"))
     ends = a.join(b.hint("merge"), same & (differ("prev") | differ("next")) & ~(F.col("a.both") & F.col("a.turned")))
     side = lambda x, y: F.when(F.col("a.turned"), differ(y)).otherwise(differ(x))
     item = F.struct(
@@ -393,8 +395,8 @@ def pair_chains(records: DataFrame, runs: DataFrame, k: int, gap_cost: float = 0
     # two runs of one record, in whatever order, as a key
     two = F.transform("runs", lambda x, p: F.transform(F.slice("runs", p + 2, F.size("runs")), lambda y: F.struct(F.least(x["run"], y["run"]).alias("x"), F.greatest(x["run"], y["run"]).alias("y"))))
     keyed = runs.where(F.size("runs") > 1).select("rec", "runs", F.explode(F.array_distinct(F.flatten(two))).alias("key"))
-    left, right = keyed.alias("l"), keyed.alias("r")
-    some = left.join(right.hint("merge"), (F.col("l.key") == F.col("r.key")) & (F.col("l.rec") < F.col("r.rec")))
+    left, right = keyed.join(queries, "rec", "left_semi").alias("l"), keyed.alias("r")
+    some = left.join(right.hint("merge"), (F.col("l.key") == F.col("r.key")) & (F.col("l.rec") != F.col("r.rec")))
     some = some.select(F.col("l.rec").alias("rec"), F.col("r.rec").alias("partner"), F.col("l.runs").alias("runs"), F.col("r.runs").alias("runs2"))
     more = some.dropDuplicates(["rec", "partner"]).join(linked.select("rec", "partner"), ["rec", "partner"], "left_anti")
     every = whole.unionByName(more.withColumn("ends", F.lit(None).cast(linked.schema["ends"].dataType)))
@@ -460,15 +462,15 @@ def shared_stretches(df: DataFrame, id_col: str, list_col: str, pos_col: str, k:
 
 
 def gap_matches(a: list, b: list) -> int:
-    """Longest common subsequence of what lies between two blocks."""
-    if not a or not b:
-        return 0
-    row = [0] * (len(b) + 1)
+    """Longest common subsequence of what lies between two blocks; a column of the table is the bits of one number."""
+    at: dict = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = free = (1 << len(b)) - 1
     for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], max(last + (x == y), row[j + 1], row[j])
-    return row[-1]
+        hit = free & at.get(x, 0)
+        free = (free + hit | free - hit) & full
+    return len(b) - free.bit_count()
 
 
 def _align(k: int):
@@ -492,16 +494,29 @@ def _align(k: int):
 PASSAGE = ["rec", "partner", "back", "i0", "i1", "j0", "j1"]
 
 
-def fuzzy_passages(df: DataFrame, id_col: str, list_col: str, k: int = 8, min_matched: int = 8) -> DataFrame:
-    """id, partner, back, i0, i1, j0, j1, matched, identity, run: chains of every pair of records, aligned, from either side.
+def classes_of(records: DataFrame) -> DataFrame:
+    """records (rec, id, list) with `of`: the smallest rec among those of an equal list, by 128 bits of it."""
+    keys = [F.xxhash64("list", F.size("list")), F.xxhash64(F.lit(0x5EED), F.size("list"), "list")]
+    keyed = records.select("*", keys[0].alias("__a"), keys[1].alias("__b"))
+    # reduced to one row a list in the map tasks; the members of a hot list meet that row, so adaptive execution may split them
+    least = keyed.groupBy("__a", "__b").agg(F.min("rec").alias("of"))
+    return keyed.join(least, ["__a", "__b"]).drop("__a", "__b")
 
-    `matched` counts equal elements in blocks and in the aligned gaps, `identity` is their share of the longer side.  Only chains
-    of several blocks need the lists; a partner of very many records is replicated to the tasks that hold them.  Rows without a partner
-    are the members of a class: a run of the element `run`; any two of them share the shorter run, in both directions.
+
+def fuzzy_passages(df: DataFrame, id_col: str, list_col: str, searched: Column, k: int = 8, min_matched: int = 8) -> DataFrame:
+    """id, partner, back, i0, i1, j0, j1, matched, identity, run: chains of the records of which a row meets `searched`, with every other.
+
+    Both sides are classes of equal lists, named by one of their ids; `copies` tells the class of each record.  `matched` counts equal
+    elements in blocks and in the aligned gaps, `identity` is their share of the longer side.  Only chains of several blocks need the lists; a
+    partner of very many records is replicated to the tasks that hold them.  Rows without a partner are the members of another kind of
+    class: a run of the element `run`; any two of them share the shorter run, in both directions.
     """
-    records = records_once(df, id_col, list_col)
+    every = saved(classes_of(records_once(df, id_col, list_col)))
+    records = every.where("rec = of").select("rec", "id", "list")
+    named = df.where(searched & F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("rec")).distinct()
+    queries = saved(every.join(named, "rec", "left_semi").select(F.col("of").alias("rec")).distinct())
     runs = saved(records.mapInArrow(_runs(k), "rec bigint, runs array<struct<run:bigint,at:int,n:int>>"))
-    chains = saved(pair_chains(records, runs, k))
+    chains = saved(pair_chains(records, runs, queries, k))
     lists = records.select("rec", F.col("list").alias("own"))
     multi = chains.where(F.size("blocks") > 1).join(lists, "rec")
     theirs = records.select(F.col("rec").alias("partner"), F.col("list").alias("theirs"))
@@ -510,23 +525,26 @@ def fuzzy_passages(df: DataFrame, id_col: str, list_col: str, k: int = 8, min_ma
         _align(k), "rec bigint, partner bigint, back boolean, i0 int, i1 int, j0 int, j1 int, matched int"
     )
     single = chains.where(F.size("blocks") == 1).select(*PASSAGE, "matched")
-    one_side = saved(aligned.unionByName(single).where(F.col("matched") >= min_matched))
-    turned = one_side.select(
-        F.col("partner").alias("rec"), F.col("rec").alias("partner"), "back", F.col("j0").alias("i0"), F.col("j1").alias("i1"), F.col("i0").alias("j0"), F.col("i1").alias("j1"), "matched"
-    )
-    out = one_side.unionByName(turned)
+    out = saved(aligned.unionByName(single).where(F.col("matched") >= min_matched))
     ids = records.select("rec", "id")
-    named = balanced_join(out, ids, ["rec"], ["partner", "i0"])
+    own = balanced_join(out, ids, ["rec"], ["partner", "i0"])
     other = ids.select(F.col("rec").alias("partner"), F.col("id").alias("partner_id"))
-    pairs = balanced_join(named, other, ["partner"], ["rec", "i0"]).select(
+    pairs = balanced_join(own, other, ["partner"], ["rec", "i0"]).select(
         "id", F.col("partner_id").alias("partner"), "back", "i0", "i1", "j0", "j1", "matched",
         (F.col("matched") / F.greatest(F.col("i1") - F.col("i0"), F.col("j1") - F.col("j0"))).alias("identity"), F.lit(None).cast("bigint").alias("run"),
     )
     long = runs.select("rec", F.inline("runs")).where(F.col("n") >= min_matched)
-    classes = long.groupBy("run").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).where("low <> high").select("run")
+    shared = long.groupBy("run").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).where("low <> high").select("run")
     kind = df.schema[id_col].dataType
-    members = long.join(classes, "run", "left_semi").join(ids, "rec").select(
+    members = long.join(shared, "run", "left_semi").join(ids, "rec").select(
         "id", F.lit(None).cast(kind).alias("partner"), F.lit(None).cast("boolean").alias("back"), F.col("at").alias("i0"), (F.col("at") + F.col("n")).alias("i1"),
         F.lit(None).cast("int").alias("j0"), F.lit(None).cast("int").alias("j1"), F.col("n").alias("matched"), F.lit(1.0).alias("identity"), "run",
     )
     return pairs.unionByName(members)
+
+
+def copies(df: DataFrame, id_col: str, list_col: str) -> DataFrame:
+    """id, of: each record, once, with the id that names the class of its list."""
+    every = saved(classes_of(records_once(df, id_col, list_col).where(F.size("list") > 0)))
+    names = every.where("rec = of").select("of", F.col("id").alias("name"))
+    return every.select("id", "of").join(names, "of").select("id", F.col("name").alias("of"))

@@ -136,7 +136,7 @@ def test_passages_bridge_differences(spark):
     other = m[:15] + [1, 2] + m[16:]
     data = [("a", m, []), ("b", other, []), ("c", other[::-1], [])]
     df = spark.createDataFrame(data, "read_id string, minims array<bigint>, pos array<int>")
-    found = {(r.id, r.partner): r for r in spans.fuzzy_passages(df, "read_id", "minims", 4, 8).collect()}
+    found = {(r.id, r.partner): r for r in spans.fuzzy_passages(df, "read_id", "minims", F.lit(True), 4, 8).collect()}
     best = [r for r in found.values() if {r.id, r.partner} == {"a", "b"} or {r.id, r.partner} == {"a", "c"}]
     assert best and all(r.matched == 39 and r.identity > 0.9 for r in best)
     assert any(r.back for r in best) or any(r.back for r in found.values())
@@ -152,7 +152,9 @@ def test_passages_of_every_pair(spark):
         at = rng.randint(0, 45)
         lists[f"x{x}"] = (base[at : at + 15] + [3, 4] * rng.randint(0, 8))[:: rng.choice((1, -1))]
     df = spark.createDataFrame([*lists.items(), *lists.items(), (None, base), ("n", None)], "read_id string, minims array<bigint>").repartition(3)
-    found = spans.fuzzy_passages(df, "read_id", "minims", 4, 12).collect()
+    of = {r.id: r.of for r in spans.copies(df, "read_id", "minims").collect()}
+    assert set(of) == set(lists) and all((of[x] == of[y]) == (lists[x] == lists[y]) for x in lists for y in lists) and of["a"] == of["b"]
+    found = spans.fuzzy_passages(df, "read_id", "minims", F.lit(True), 4, 12).collect()
     got, members = defaultdict(list), defaultdict(dict)
     for r in found:
         if r.partner is None:
@@ -161,8 +163,9 @@ def test_passages_of_every_pair(spark):
             got[r.id, r.partner].append(r)
     for x, a in lists.items():
         for y, b in lists.items():
-            if x == y:
+            if of[x] == of[y]:
                 continue
+            x, y = of[x], of[y]
             for back in (False, True):
                 other = b[::-1] if back else b
                 for i in range(len(a)):
@@ -178,10 +181,11 @@ def test_passages_of_every_pair(spark):
                             continue
                         j0 = len(b) - j - n if back else j
                         assert any(r.back == back and r.i0 <= i and i + n <= r.i1 and r.j0 <= j0 and j0 + n <= r.j1 for r in got[x, y]), (x, y, back, i, j, n)
-    assert got["a", "b"][0].matched == 40 and got["b", "a"][0].matched == 40
+    few = spans.fuzzy_passages(df, "read_id", "minims", F.col("read_id").isin("b", "e"), 4, 12).where("partner IS NOT NULL").collect()
+    assert sorted(map(repr, few)) == sorted(repr(r) for r in found if r.partner is not None and r.id in (of["b"], "e"))
     assert all(r.matched <= min(r.i1 - r.i0, r.j1 - r.j0) for rs in got.values() for r in rs)
     assert members[7] == {"e": 15, "f": 13, "g": 14} and members[8] == {"g": 13, "i": 14}
-    assert spans.fuzzy_passages(df.limit(0), "read_id", "minims", 4, 12).collect() == []
+    assert spans.fuzzy_passages(df.limit(0), "read_id", "minims", F.lit(True), 4, 12).collect() == []
 
 
 def test_chain_prefers_collinear_blocks():
@@ -189,6 +193,15 @@ def test_chain_prefers_collinear_blocks():
     assert spans.chain_blocks(i, j, n, 0.1) == [[0, 2], [1]]
 
 
+def test_gap_matches():
+    def slow(a, b):
+        return 0 if not a or not b else max(slow(a[1:], b), slow(a, b[1:]), slow(a[1:], b[1:]) + 1 if a[0] == b[0] else 0)
+
+    for _ in range(60):
+        a, b = ([RNG.choice([1, 2, 3, None]) for _ in range(RNG.randint(0, 6))] for _ in "ab")
+        assert spans.gap_matches(a, b) == slow(a, b)
+
+
 # -- heavy items --------------------------------------------------------------------------------------------------------------
 
 def test_mix_is_invertible():
