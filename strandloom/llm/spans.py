@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -334,39 +335,65 @@ def joined_blocks(blocks: list[tuple[bool, int, int, int]], k: int) -> list[tupl
     return out
 
 
-def _pair_chains(k: int, gap_cost: float):
+def _rows_of(col: pa.Array) -> tuple[list[int], dict[str, np.ndarray]]:
+    """Bounds of the rows of an array<struct> column (nulls are empty), and its fields as arrays."""
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    flat = col.flatten()
+    return np.concatenate([[0], np.cumsum(size)]).tolist(), {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+
+
+def _pair_chains(k: int, gap_cost: float, min_matched: int):
     """Arrow kernel: one row a pair with the ends of its common stretches and both records' runs -> chains, as from `_chain`.
 
-    A chain that is one block inside a run of one element is left to the class rows.
+    A chain that is one block inside a run of one element is left to the class rows; one block of less than `min_matched` elements is
+    no passage.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row, (ends, own, theirs) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
-                step = [(x["back"], -x["j"] - x["i"] if x["back"] else x["j"] - x["i"], x["i"], x["begins"], x["stops"]) for x in ends or ()]
-                starts = sorted(x[:3] for x in step if x[3])
-                stops = sorted(x[:3] for x in step if x[4])
-                found = [(back, i, d + i, z - i + k) for (back, d, i), (_, _, z) in zip(starts, stops, strict=True)]
-                blocks = joined_blocks(found + list(run_blocks(own or [], theirs or [], k)), k)
-                for back in (False, True):
-                    some = [x[1:] for x in blocks if x[0] == back]
+            (at, e), (own_at, own), (their_at, theirs) = (_rows_of(batch.column(c)) for c in (2, 3, 4))
+            n_rows = len(batch)
+            row = np.repeat(np.arange(n_rows), np.diff(at))
+            back = e["back"].astype(bool)
+            diagonal = np.where(back, -e["j"] - e["i"], e["j"] - e["i"]).astype(np.int64)
+            first, last = (np.flatnonzero(e[c].astype(bool)) for c in ("begins", "stops"))
+            first, last = (x[np.lexsort((e["i"][x], diagonal[x], back[x], row[x]))] for x in (first, last))
+            # the stretches of the batch: every beginning has its end
+            start, size = e["i"][first].astype(np.int64), e["i"][last].astype(np.int64) - e["i"][first] + k
+            owner, turned, by = row[first], back[first], diagonal[first] + start
+            bounds = np.searchsorted(owner, np.arange(n_rows + 1))
+            with_runs = (np.diff(own_at) > 0) & (np.diff(their_at) > 0)
+            plain = (np.diff(bounds) == 1) & ~with_runs
+            # most pairs have one stretch: no chaining
+            x = bounds[:-1][plain]
+            x = x[size[x] >= min_matched]
+            j0 = np.where(turned[x], k - size[x] - by[x], by[x])
+            out = list(zip(owner[x].tolist(), turned[x].tolist(), start[x].tolist(), (start[x] + size[x]).tolist(), j0.tolist(), (j0 + size[x]).tolist(), size[x].tolist(), ([t] for t in zip(start[x].tolist(), by[x].tolist(), size[x].tolist()))))
+            stretch = list(zip(turned.tolist(), start.tolist(), by.tolist(), size.tolist()))
+            as_runs = lambda at, f, r: [{"run": f["run"][y], "at": int(f["at"][y]), "n": int(f["n"][y])} for y in range(at[r], at[r + 1])]
+            for r in np.flatnonzero(~plain).tolist():
+                found, mine = stretch[bounds[r] : bounds[r + 1]], as_runs(own_at, own, r)
+                blocks = joined_blocks(found + list(run_blocks(mine, as_runs(their_at, theirs, r), k) if with_runs[r] else ()), k)
+                for back_ in (False, True):
+                    some = [x[1:] for x in blocks if x[0] == back_]
                     if not some:
                         continue
                     i, j, n = (np.array(x) for x in zip(*some))
                     for chain in [[0]] if len(some) == 1 else chain_blocks(i, j, n, gap_cost):
                         held = [some[x] for x in chain]
                         (a, b, _), (a2, b2, n2) = held[0], held[-1]
-                        if len(held) == 1 and any(r["at"] <= a and a + n2 <= r["at"] + r["n"] for r in own or ()):
+                        if len(held) == 1 and (n2 < min_matched or any(x["at"] <= a and a + n2 <= x["at"] + x["n"] for x in mine)):
                             continue
-                        j0, j1 = (k - n2 - b2, k - b) if back else (b, b2 + n2)
-                        out.append((row, back, a, a2 + n2, j0, j1, sum(x[2] for x in held), held))
+                        j0, j1 = (k - n2 - b2, k - b) if back_ else (b, b2 + n2)
+                        out.append((r, back_, a, a2 + n2, j0, j1, sum(x[2] for x in held), held))
             cols = [*zip(*out)] or [[]] * 8
             rows = pa.array(cols[0], pa.int64())
+            flat = [t for x in cols[7] for t in x]
+            items = pa.StructArray.from_arrays([pa.array([t[c] for t in flat], pa.int32()) for c in range(3)], names=["at", "by", "n"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cols[1], pa.bool_()), *[pa.array(x, pa.int32()) for x in cols[2:7]],
-                    pa.array([[{"at": u, "by": v, "n": m} for u, v, m in x] for x in cols[7]], BLOCKS),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in cols[7]])]).astype(np.int32)), items),
                 ],
                 names=["rec", "partner", "back", "i0", "i1", "j0", "j1", "matched", "blocks"],
             )
@@ -374,7 +401,7 @@ def _pair_chains(k: int, gap_cost: float):
     return run
 
 
-def pair_chains(records: DataFrame, runs: DataFrame, queries: DataFrame, k: int, gap_cost: float = 0.1) -> DataFrame:
+def pair_chains(records: DataFrame, runs: DataFrame, queries: DataFrame, k: int, min_matched: int, gap_cost: float = 0.1) -> DataFrame:
     """rec, partner, back, i0, i1, j0, j1, matched, blocks: chains of every pair of a record in `queries` (rec) and another one that shares a
     window of more than one element, or two runs of one element.  `runs` is (rec, runs)."""
     kinds = "h1 bigint, h2 int, rec bigint, at int, turned boolean, both boolean, prev bigint, next bigint"
@@ -401,7 +428,7 @@ def pair_chains(records: DataFrame, runs: DataFrame, queries: DataFrame, k: int,
     more = some.dropDuplicates(["rec", "partner"]).join(linked.select("rec", "partner"), ["rec", "partner"], "left_anti")
     every = whole.unionByName(more.withColumn("ends", F.lit(None).cast(linked.schema["ends"].dataType)))
     return every.select("rec", "partner", "ends", "runs", "runs2").mapInArrow(
-        _pair_chains(k, gap_cost),
+        _pair_chains(k, gap_cost, min_matched),
         "rec bigint, partner bigint, back boolean, i0 int, i1 int, j0 int, j1 int, matched int, blocks array<struct<at:int,by:int,n:int>>",
     )
 
@@ -478,15 +505,21 @@ def _align(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matched = []
-            for r in batch.select(["back", "blocks", "own", "theirs", "matched"]).to_pylist():
-                total, theirs = r["matched"], r["theirs"]
-                for x, y in zip(r["blocks"], r["blocks"][1:]):
-                    between = range(x["by"] + x["n"], y["by"])
-                    other = [theirs[k - 1 - m] for m in between] if r["back"] else [theirs[m] for m in between]
-                    total += gap_matches(r["own"][x["at"] + x["n"] : y["at"]], other)
-                matched.append(total)
-            yield pa.RecordBatch.from_arrays([*batch.select(PASSAGE).columns, pa.array(matched, pa.int32())], names=[*PASSAGE, "matched"])
+            (own, own_at), (theirs, their_at) = list_values(batch["own"]), list_values(batch["theirs"])
+            at, f = _rows_of(batch["blocks"])
+            start, by, n = f["at"].astype(np.int64), f["by"].astype(np.int64), f["n"].astype(np.int64)
+            row = np.repeat(np.arange(len(batch)), np.diff(at))
+            back = batch["back"].to_numpy(zero_copy_only=False).astype(bool)
+            total = batch["matched"].to_numpy(zero_copy_only=False).astype(np.int64)
+            x = np.flatnonzero(row[1:] == row[:-1])
+            a0, a1, b0, b1 = start[x] + n[x], start[x + 1], by[x] + n[x], by[x + 1]
+            some = (a1 > a0) & (b1 > b0)
+            for r, a, z, c, d in zip(*(v[some].tolist() for v in (row[x], a0, a1, b0, b1))):
+                o, t = own_at[r], their_at[r]
+                # mirrored starts: place m of a reversed partner is k - 1 - m of its list
+                other = theirs[t + k - d : t + k - c][::-1] if back[r] else theirs[t + c : t + d]
+                total[r] += gap_matches(own[o + a : o + z].tolist(), other.tolist())
+            yield pa.RecordBatch.from_arrays([*batch.select(PASSAGE).columns, pa.array(total.astype(np.int32))], names=[*PASSAGE, "matched"])
 
     return run
 
@@ -516,7 +549,7 @@ def fuzzy_passages(df: DataFrame, id_col: str, list_col: str, searched: Column,
     named = df.where(searched & F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("rec")).distinct()
     queries = saved(every.join(named, "rec", "left_semi").select(F.col("of").alias("rec")).distinct())
     runs = saved(records.mapInArrow(_runs(k), "rec bigint, runs array<struct<run:bigint,at:int,n:int>>"))
-    chains = saved(pair_chains(records, runs, queries, k))
+    chains = saved(pair_chains(records, runs, queries, k, min_matched))
     lists = records.select("rec", F.col("list").alias("own"))
     multi = chains.where(F.size("blocks") > 1).join(lists, "rec")
     theirs = records.select(F.col("rec").alias("partner"), F.col("list").alias("theirs"))
