@@ -25,7 +25,7 @@ from strandloom.session import saved
 
 STEP, LEVELS, ROWS = 8, 8, 5
 #: Counters a row, and prefixes kept at each level of the descent (candidates verified), of each attempt.
-ATTEMPTS = ((8192, 2048), (131072, 32768))
+ATTEMPTS = ((8192, 2048), (32768, 4096))
 M1, M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
@@ -93,7 +93,8 @@ def descend(table: np.ndarray, width: int, beam: int) -> tuple[np.ndarray, np.nd
         cell, sign = cells(prefix, level, width)
         guess = np.median(table[level][cell] * sign, axis=0)
         order = np.argsort(-guess, kind="stable")
-        error = float(np.sqrt(np.median((table[level].reshape(ROWS, width).astype(float) ** 2).sum(axis=1)) / width))
+        # the spread of the counters, which the few cells of heavy items do not move
+        error = float(np.median(np.abs(table[level]))) / 0.6745
         if len(order) > beam:
             cut = max(cut, max(0.0, float(guess[order[beam]])) + 3 * error)
             order = order[:beam]
