@@ -157,21 +157,23 @@ def unitigs(links: DataFrame, all_nodes: DataFrame | None = None, max_rounds: in
     first = F.col("u").isNull()
     state = written(ends.join(step, "v", "left").select(
         "v", F.coalesce("u", "v").alias("at"), (~first).cast("bigint").alias("hops"), F.least("v", F.coalesce("u", "v")).alias("low"), first.alias("root")))
+    columns = ["v", "at", "hops", "low", "root"]
     for _ in range(max_rounds):
+        # only what has not reached its root looks on; few such rows are broadcast by their table's size, and then nothing is shuffled
         back = state.select(F.col("v").alias("at"), F.col("at").alias("at2"), F.col("hops").alias("hops2"), F.col("low").alias("low2"), F.col("root").alias("root2"))
-        both_ways = state.join(back, "at")
-        moved = F.when(F.col("root2"), ~F.col("root")).otherwise(F.col("low2") < F.col("low"))
-        state = written(both_ways.select(
-            "v", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("low", "low2").alias("low"), F.col("root2").alias("root"), moved.alias("moved")), instead_of=state)
-        if state.where("moved").isEmpty():
+        on = state.where("NOT root").select("v", "at", "hops", "low").join(back, "at").select(
+            "v", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("low", "low2").alias("low"), F.col("root2").alias("root"),
+            (F.col("root2") | (F.col("low2") < F.col("low"))).alias("moved"))
+        state = written(on.union(state.where("root").select(*columns, F.lit(False))), instead_of=state)
+        n_open, n_moved = state.agg(F.count_if(~F.col("root")), F.count_if("moved")).first()
+        if not n_open or not n_moved:
             break
     else:
         raise RuntimeError(f"paths have not settled after {max_rounds} rounds")
-    # what never reached a root lies on a circle
-    circle = state.where("NOT root").select("v", "low")
-    path = state.where("root").select("v", F.col("at").alias("head"), F.col("hops").alias("ord"))
-    rings = _number_circles(circle, step, max_rounds)
-    found = written(path.union(rings))
+    found = state.where("root").select("v", F.col("at").alias("head"), F.col("hops").alias("ord"))
+    if n_open:
+        # what never reached a root lies on a circle
+        found = written(found.union(_number_circles(state.where("NOT root").select("v", "low"), step, max_rounds)))
     # one of a path and its mirror image: the smaller of both heads; the mirror's head is the flipped tail
     tail = found.groupBy("head").agg(F.max(F.struct("ord", "v")).alias("t")).select("head", F.struct(F.col("t.v.n").alias("n"), flip(F.col("t.v.o")).alias("o")).alias("mirror"))
     kept = found.join(tail, "head").where(F.col("head") <= F.col("mirror"))

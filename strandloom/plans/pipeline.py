@@ -36,28 +36,34 @@ LARGE, HUGE = 1_000_000, 100_000_000
 MORE, AGGRESSIVE = ((1, 1), (2, 10), (3, 10)), ((1, 1), (2, 10), (4, 10))
 
 
-def _bases(links: DataFrame, nodes: DataFrame) -> int:
-    return basespace.unitig_stats(graph.unitigs(links, nodes), nodes).agg(F.sum("bases")).first()[0] or 0
-
-
-def simplified(links: DataFrame, nodes: DataFrame, tip_nodes: int, tip_length: int, bubble_length: int, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Links and nodes after up to `rounds` rounds of clipping dead ends and popping bubbles, then without loops.
+def simplified(links: DataFrame, nodes: DataFrame, tip_nodes: int, tip_length: int, bubble_length: int, rounds: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, nodes and maximal paths after up to `rounds` rounds of clipping dead ends and popping bubbles, then without loops.
 
     As in the original's script, a graph of over LARGE bases gets a further series of rounds, one of over HUGE bases loses its loops
     again and gets an aggressive series.  Series end early once nothing goes.
     """
-
-    def series(links: DataFrame, nodes: DataFrame, factors) -> tuple[DataFrame, DataFrame]:
-        paths, done = None, None
+    paths = None
+
+    def mapped() -> DataFrame:
+        """The maximal paths of the graph as it is now, found once until it changes."""
+        nonlocal links, paths
+        if paths is None:
+            links = written(links)
+            paths = written(graph.unitigs(links, nodes))
+        return paths
+
+    def bases() -> int:
+        return basespace.unitig_stats(mapped(), nodes).agg(F.sum("bases")).first()[0] or 0
+
+    def series(factors) -> None:
+        nonlocal links, nodes, paths
+        done = None
         for tip, bubble in factors:
-            if paths is None:
-                links = written(links)
-                paths = written(graph.unitigs(links, nodes))
-            elif (tip, bubble) == done:
+            if (tip, bubble) == done:
                 break
-            gone = graph.tips(links, paths, nodes, tip_nodes, tip * tip_length) if tip_length else None
+            gone = graph.tips(links, mapped(), nodes, tip_nodes, tip * tip_length) if tip_length else None
             if bubble_length:
-                popped = graph.bubbles(links, paths, basespace.unitig_stats(paths, nodes), bubble * bubble_length)
+                popped = graph.bubbles(links, mapped(), basespace.unitig_stats(mapped(), nodes), bubble * bubble_length)
                 gone = popped if gone is None else gone.union(popped)
             gone = written(gone.distinct())
             if gone.isEmpty():
@@ -65,20 +71,20 @@ def simplified(links: DataFrame, nodes: DataFrame, tip_nodes: int, tip_length: i
                 continue
             out = paths.join(gone, "unitig", "left_semi").select("node_id").distinct()
             links = graph.without_unitigs(links, paths, gone)
-            nodes = written(nodes.join(out, "node_id", "left_anti"))
-            paths = None
-        return links, nodes
+            nodes, paths, done = written(nodes.join(out, "node_id", "left_anti")), None, None
 
-    def unlooped(links: DataFrame) -> DataFrame:
-        return written(graph.both_sides(graph.break_loops(links.withColumn("overlap", F.lit(0)))))
+    def unloop() -> None:
+        nonlocal links, paths
+        links, paths = graph.both_sides(graph.break_loops(links.withColumn("overlap", F.lit(0)))), None
 
-    links, nodes = series(links, nodes, ((1, 1),) * rounds)
-    links = unlooped(links)
-    if _bases(links, nodes) > LARGE:
-        links, nodes = series(links, nodes, MORE)
-        if _bases(links, nodes) > HUGE:
-            links, nodes = series(unlooped(links), nodes, AGGRESSIVE)
-    return links, nodes
+    series(((1, 1),) * rounds)
+    unloop()
+    if bases() > LARGE:
+        series(MORE)
+        if bases() > HUGE:
+            unloop()
+            series(AGGRESSIVE)
+    return links, nodes, mapped()
 
 
 def assemble(reads: DataFrame, p: Params, tip_nodes: int = 10, tip_length: int = 0, bubble_length: int = 0, rounds: int = 1, weighted: bool = False, base_space: bool = True) -> Assembly:
@@ -92,14 +98,22 @@ def assemble(reads: DataFrame, p: Params, tip_nodes: int = 10, tip_length: int =
         own = written(reads.where("read_id IS NOT NULL AND seq IS NOT NULL").select("read_id", "seq"))
     else:
         own = minspace.reads_once(reads)
-    lists = minspace.minimizers(own, p)
+    return assemble_lists(own, minspace.minimizers(own, p), p, tip_nodes, tip_length, bubble_length, rounds, base_space)
+
+
+def assemble_lists(
+    reads: DataFrame, lists: DataFrame, p: Params, tip_nodes: int = 10, tip_length: int = 0, bubble_length: int = 0, rounds: int = 1, base_space: bool = True,
+) -> Assembly:
+    """`assemble` of reads (read_id, seq) whose lists (read_id, minims, pos) are given: a run that starts after the correction, with what
+    `correct.corrected` returns or `formats.read_corrected` reads."""
     nodes = kminmers.checked_ids(written(kminmers.node_ids(kminmers.nodes(lists, p.k, p.min_abundance, p.strict))))
     edges = written(graph.edges(nodes, p.k, p.presimp))
     links = graph.both_sides(edges)
     if tip_length or bubble_length:
-        links, nodes = simplified(links, nodes, tip_nodes, tip_length, bubble_length, rounds)
-    paths = written(graph.unitigs(links, nodes))
-    contigs = basespace.contigs(paths, basespace.node_sequences(nodes, own, p.l)) if base_space else None
+        links, nodes, paths = simplified(links, nodes, tip_nodes, tip_length, bubble_length, rounds)
+    else:
+        paths = written(graph.unitigs(links, nodes))
+    contigs = basespace.contigs(paths, basespace.node_sequences(nodes, reads, p.l)) if base_space else None
     return Assembly(nodes, edges, paths, contigs)
 
 
@@ -132,5 +146,3 @@ def containment(genomes: DataFrame, genes: DataFrame, p: Params) -> DataFrame:
     """query_id, n_kminmers, covered, pct: how much of each gene's windows occurs in the genomes, both (read_id, seq)."""
     a, b = (minspace.minimizers(minspace.reads_once(x), p) for x in (genomes, genes))
     return kminmers.coverage(a, b, p.k)
-
-

@@ -212,6 +212,14 @@ def assembled_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.contigs.select("name", F.length("seq").alias("bases"), "n_nodes", "mean_abundance")
 
 
+def corrected_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assembly of the reads after their correction: length, nodes and abundance of each contig."""
+    own = reads(spark, sf_dir).select("read_id", dna.clean_seq("seq").alias("seq"))
+    done = saved(correct.corrected(own, saved(minspace.minimizers(own, DENSITY)), DENSITY.l))
+    contigs = pipeline.assemble_lists(done, done, DENSITY, TIP_NODES, TIP_LENGTH, BUBBLE_LENGTH, rounds=6).contigs
+    return contigs.select("name", F.length("seq").alias("bases"), "n_nodes", "mean_abundance")
+
+
 def run_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by the part of the read id before the first slash."""
     return analytics.genome_ids(table(spark, sf_dir, "reads"), "read_id", "/")
@@ -220,7 +228,7 @@ def run_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     read_lengths, hpc_reads, revcomp_reads, base_composition, minimizers_density, minimizers_syncmer, minimizers_uhs, minimizers_lcp, minimizers_counted, dictionary_sizes, lmer_counts, robust_minimizers, dictionary_minimizers,
     kminmer_counts, kminmer_nodes, read_stats, subread_coverage, subread_hits, graph_hits, kminmer_set_compare, abundance_histogram, mappability, ngram_successors,
-    minimizer_spacing, similar_reads, labelled_lists, corrected_reads, assembled_contigs, assembly_metrics, run_reads,
+    minimizer_spacing, similar_reads, labelled_lists, corrected_reads, assembled_contigs, corrected_contigs, assembly_metrics, run_reads,
 )}
 
 

@@ -280,6 +280,21 @@ def test_perfect_reads_give_the_genome_back(spark):
     assert len(stats) == len(reads) and all(min(r.counts) >= 2 for r in stats)
 
 
+def test_assembly_after_correction(spark, tmp_path):
+    genome = dna_text(3000, 7)
+    data = [(f"{a}.{x}", genome[a : a + 1000]) for a in range(0, 2001, 250) for x in range(2)]
+    df = spark.createDataFrame(data, "read_id string, seq string")
+    p = Params(k=5, l=12, density=0.05, hpc=False)
+    done = correct.corrected(df, minspace.minimizers(df, p), p.l)
+    formats.write_lines(formats.corrected_lines(done).withColumn("section", F.lit(0)), str(tmp_path / "lists"))
+    again = formats.read_corrected(spark, str(tmp_path / "lists"))
+    seqs = lambda x, **more: sorted(r.seq for r in pipeline.assemble_lists(x, x, p, **more).contigs.collect())
+    found = seqs(again)
+    assert found == seqs(done) == seqs(done, tip_length=500, bubble_length=500) and len(found) == 1 and len(found[0]) > 2800
+    assert found[0] in genome or reverse_complement(found[0]) in genome
+    assert pipeline.assemble_lists(done.limit(0), done.limit(0), p, tip_length=500).contigs.isEmpty()
+
+
 def test_multi_k(spark):
     genome = dna_text(4000, 6)
     df = spark.createDataFrame([(f"{i}.{x}", genome[a : a + 1500]) for i, a in enumerate(range(0, 2501, 250)) for x in "ab"], "read_id string, seq string")
