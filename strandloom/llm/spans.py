@@ -22,6 +22,8 @@ Records whose list is null, shorter than k, or that have no id share nothing.  A
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +96,7 @@ def _seeds(k: int):
     return run
 
 
-def chain_blocks(i: np.ndarray, j: np.ndarray, n: np.ndarray, gap_cost: float) -> list[list[int]]:
+def chain_blocks(i: list[int], j: list[int], n: list[int], gap_cost: float) -> list[list[int]]:
     """Chains of matched blocks (i, j, length) that increase in both coordinates.
 
     Best predecessor: maximum of score + gap_cost * (end_i + end_j) over blocks that end before this one in both, from a
@@ -102,36 +104,36 @@ def chain_blocks(i: np.ndarray, j: np.ndarray, n: np.ndarray, gap_cost: float) -
     chain, taken from the best end downwards.
     """
     m = len(i)
-    ends = np.unique(j + n)
-    tree = [(-np.inf, -1)] * (len(ends) + 1)
-    slot = (np.searchsorted(ends, j + n) + 1).tolist()
-    upto = np.searchsorted(ends, j, side="right").tolist()
-    order = np.lexsort((j, i)).tolist()
-    closing = np.lexsort((j, i + n)).tolist()
-    si, ei, sj, ej = i.tolist(), (i + n).tolist(), j.tolist(), (j + n).tolist()
-    size = n.tolist()
+    si, ei, sj, ej, size = i, [x + y for x, y in zip(i, n)], j, [x + y for x, y in zip(j, n)], n
+    ends = sorted(set(ej))
+    tree = [(-math.inf, -1)] * (len(ends) + 1)
+    # few blocks make most chains, so plain lists are quicker than arrays here
+    slot = {e: x for x, e in enumerate(ends, 1)}
+    order = sorted(range(m), key=[*zip(si, sj)].__getitem__)
+    closing = sorted(range(m), key=[*zip(ei, sj)].__getitem__)
     score, before = [0.0] * m, [-1] * m
     c = 0
     for x in order:
         while c < m and ei[closing[c]] <= si[x]:
             y = closing[c]
             entry = (score[y] + gap_cost * (ei[y] + ej[y]), y)
-            s = slot[y]
+            s = slot[ej[y]]
             while s <= len(ends):
                 if entry > tree[s]:
                     tree[s] = entry
                 s += s & -s
             c += 1
-        best = (-np.inf, -1)
-        s = upto[x]
+        best = (-math.inf, -1)
+        s = bisect_right(ends, sj[x])
         while s > 0:
-            best = max(best, tree[s])
+            if tree[s] > best:
+                best = tree[s]
             s -= s & -s
         gain = best[0] - gap_cost * (si[x] + sj[x])
         score[x] = size[x] + max(0.0, gain)
         before[x] = best[1] if gain > 0 else -1
     chains, used = [], [False] * m
-    for x in sorted(range(m), key=lambda y: -score[y]):
+    for x in sorted(range(m), key=score.__getitem__, reverse=True):
         chain = []
         while x >= 0 and not used[x]:
             used[x] = True
@@ -182,7 +184,7 @@ def _chain(k: int, gap_cost: float):
             out = []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 h = head[g[s]]
-                for chain in [[0]] if e - s == 1 else chain_blocks(a[s:e], c[s:e], n[s:e], gap_cost):
+                for chain in [[0]] if e - s == 1 else chain_blocks(a[s:e].tolist(), c[s:e].tolist(), n[s:e].tolist(), gap_cost):
                     blocks = [(int(a[s + x]), int(c[s + x]), int(n[s + x])) for x in chain]
                     last = s + chain[-1]
                     j0, j1 = int(c[s + chain[0]]), int(c[last] + n[last])
@@ -308,30 +310,39 @@ def _runs(k: int):
     return run
 
 
-def run_blocks(own: list[dict], theirs: list[dict], k: int) -> set[tuple[bool, int, int, int]]:
-    """(back, start, (mirrored) start in the partner, elements): runs of one element laid at each other's start and at each other's end."""
+def run_blocks(own: list[tuple[int, int, int]], theirs: list[tuple[int, int, int]], k: int) -> set[tuple[bool, int, int, int]]:
+    """(back, diagonal, start, elements): runs (element, start, elements) of one element laid at each other's start and at each other's
+    end.  The diagonal is the (mirrored) start in the partner less the start."""
     out = set()
-    for a in own:
-        for b in theirs:
-            if a["run"] == b["run"]:
-                n = min(a["n"], b["n"])
-                out.add((False, a["at"], b["at"], n))
-                out.add((False, a["at"] + a["n"] - n, b["at"] + b["n"] - n, n))
-                out.add((True, a["at"], k - b["at"] - b["n"], n))
-                out.add((True, a["at"] + a["n"] - n, k - b["at"] - n, n))
+    for x, a, n in own:
+        for y, b, m in theirs:
+            if x == y:
+                if n == m:
+                    out.add((False, b - a, a, n))
+                    out.add((True, k - b - n - a, a, n))
+                    continue
+                s = min(n, m)
+                z = a + n - s
+                out.add((False, b - a, a, s))
+                out.add((False, b + m - s - z, z, s))
+                out.add((True, k - b - m - a, a, s))
+                out.add((True, k - b - s - z, z, s))
     return out
 
 
-def joined_blocks(blocks: list[tuple[bool, int, int, int]], k: int) -> list[tuple[bool, int, int, int]]:
-    """Blocks of one diagonal whose windows overlap or follow one another become one; ordered by direction."""
-    out = []
-    for back, a, b, n in sorted(blocks, key=lambda x: (x[0], x[2] - x[1], x[1], x[3])):
-        if out:
-            back0, a0, b0, n0 = out[-1]
-            if back0 == back and b0 - a0 == b - a and a <= a0 + n0 - k + 1:
-                out[-1] = (back, a0, b0, max(n0, a + n - a0))
-                continue
-        out.append((back, a, b, n))
+def joined_blocks(blocks: list[tuple[bool, int, int, int]], k: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Blocks (back, diagonal, start, elements) of one diagonal whose windows overlap or follow one another become one: (start, start in
+    the partner, elements), first those in the same direction, then those turned round."""
+    out = [], []
+    last, stop = None, 0
+    for back, d, a, n in sorted(blocks):
+        mine = out[back]
+        if last == (back, d) and a <= stop - k + 1:
+            stop, a = max(stop, a + n), mine[-1][0]
+            mine[-1] = (a, a + d, stop - a)
+        else:
+            last, stop = (back, d), a + n
+            mine.append((a, a + d, n))
     return out
 
 
@@ -360,7 +371,7 @@ def _pair_chains(k: int, gap_cost: float, min_matched: int):
             first, last = (x[np.lexsort((e["i"][x], diagonal[x], back[x], row[x]))] for x in (first, last))
             # the stretches of the batch: every beginning has its end
             start, size = e["i"][first].astype(np.int64), e["i"][last].astype(np.int64) - e["i"][first] + k
-            owner, turned, by = row[first], back[first], diagonal[first] + start
+            owner, turned, by = row[first], back[first], diagonal[first] + start  # `by` is mirrored where turned
             bounds = np.searchsorted(owner, np.arange(n_rows + 1))
             with_runs = (np.diff(own_at) > 0) & (np.diff(their_at) > 0)
             plain = (np.diff(bounds) == 1) & ~with_runs
@@ -369,23 +380,23 @@ def _pair_chains(k: int, gap_cost: float, min_matched: int):
             x = x[size[x] >= min_matched]
             j0 = np.where(turned[x], k - size[x] - by[x], by[x])
             out = list(zip(owner[x].tolist(), turned[x].tolist(), start[x].tolist(), (start[x] + size[x]).tolist(), j0.tolist(), (j0 + size[x]).tolist(), size[x].tolist(), ([t] for t in zip(start[x].tolist(), by[x].tolist(), size[x].tolist()))))
-            stretch = list(zip(turned.tolist(), start.tolist(), by.tolist(), size.tolist()))
-            as_runs = lambda at, f, r: [{"run": f["run"][y], "at": int(f["at"][y]), "n": int(f["n"][y])} for y in range(at[r], at[r + 1])]
+            stretch = list(zip(turned.tolist(), diagonal[first].tolist(), start.tolist(), size.tolist()))
+            bounds = bounds.tolist()
+            own, theirs = ([*zip(*(f[c].tolist() for c in ("run", "at", "n")))] for f in (own, theirs))
             for r in np.flatnonzero(~plain).tolist():
-                found, mine = stretch[bounds[r] : bounds[r + 1]], as_runs(own_at, own, r)
-                blocks = joined_blocks(found + list(run_blocks(mine, as_runs(their_at, theirs, r), k) if with_runs[r] else ()), k)
-                for back_ in (False, True):
-                    some = [x[1:] for x in blocks if x[0] == back_]
+                found, mine = stretch[bounds[r] : bounds[r + 1]], own[own_at[r] : own_at[r + 1]]
+                if with_runs[r]:
+                    found.extend(run_blocks(mine, theirs[their_at[r] : their_at[r + 1]], k))
+                for back_, some in enumerate(joined_blocks(found, k)):
                     if not some:
                         continue
-                    i, j, n = (np.array(x) for x in zip(*some))
-                    for chain in [[0]] if len(some) == 1 else chain_blocks(i, j, n, gap_cost):
+                    for chain in [[0]] if len(some) == 1 else chain_blocks(*map(list, zip(*some)), gap_cost):
                         held = [some[x] for x in chain]
                         (a, b, _), (a2, b2, n2) = held[0], held[-1]
-                        if len(held) == 1 and (n2 < min_matched or any(x["at"] <= a and a + n2 <= x["at"] + x["n"] for x in mine)):
+                        if len(held) == 1 and (n2 < min_matched or any(s <= a and a + n2 <= s + n for _, s, n in mine)):
                             continue
                         j0, j1 = (k - n2 - b2, k - b) if back_ else (b, b2 + n2)
-                        out.append((r, back_, a, a2 + n2, j0, j1, sum(x[2] for x in held), held))
+                        out.append((r, bool(back_), a, a2 + n2, j0, j1, sum([x[2] for x in held]), held))
             cols = [*zip(*out)] or [[]] * 8
             rows = pa.array(cols[0], pa.int64())
             flat = [t for x in cols[7] for t in x]

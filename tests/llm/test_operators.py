@@ -189,7 +189,7 @@ def test_passages_of_every_pair(spark):
 
 
 def test_chain_prefers_collinear_blocks():
-    i, j, n = np.array([0, 10, 20]), np.array([0, 50, 20]), np.array([5, 5, 5])
+    i, j, n = [0, 10, 20], [0, 50, 20], [5, 5, 5]
     assert spans.chain_blocks(i, j, n, 0.1) == [[0, 2], [1]]
 
 
