@@ -107,11 +107,15 @@ def _put_together(keep: list[str], counts_only: bool):
     return run
 
 
+#: Bytes of text for each task of the shuffles, where that needs more tasks than the session's number.
+TASK_BYTES = 64 << 20
+
+
 def _encoded(df: DataFrame, id_col: str, text_col: str, keep: list[str], vocabulary: str, counts_only: bool) -> DataFrame:
     name, kind = ("n_tokens", "bigint") if counts_only else ("ids", "array<int>")
     some = df.where(F.col(text_col) != "")
     n_bytes = some.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
-    n_tasks = tasks(df.sparkSession)
+    n_tasks = max(tasks(df.sparkSession), -(-n_bytes // TASK_BYTES))
     block = F.pmod(F.xxhash64(id_col, text_col), F.lit(max(2 * n_tasks, -(-n_bytes // bpe.BLOCK_BYTES))))
     placed = some.select(block.alias(BLOCK), F.col(text_col).alias(TEXT), *keep).repartition(n_tasks, BLOCK)
     # the whole rows go into the kernel, so that its shuffle is also that of the last step
