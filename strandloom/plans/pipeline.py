@@ -96,9 +96,11 @@ def assemble(reads: DataFrame, p: Params, tip_nodes: int = 10, tip_length: int =
     """
     if weighted:
         own = written(reads.where("read_id IS NOT NULL AND seq IS NOT NULL").select("read_id", "seq"))
+        lists = minspace.minimizers(own, p).repartition("read_id")
     else:
-        own = minspace.reads_once(reads)
-    return assemble_lists(own, minspace.minimizers(own, p), p, tip_nodes, tip_length, bubble_length, rounds, base_space)
+        # lists are made from every row and shuffled in place of the texts
+        own, lists = minspace.reads_once(reads), kminmers.lists_once(minspace.minimizers(minspace.with_sequence(reads), p))
+    return assemble_lists(own, lists, p, tip_nodes, tip_length, bubble_length, rounds, base_space)
 
 
 def assemble_lists(
@@ -108,11 +110,10 @@ def assemble_lists(
     `correct.corrected` returns or `formats.read_corrected` reads."""
     nodes = kminmers.checked_ids(written(kminmers.node_ids(kminmers.nodes(lists, p.k, p.min_abundance, p.strict))))
     edges = written(graph.edges(nodes, p.k, p.presimp))
-    links = graph.both_sides(edges)
     if tip_length or bubble_length:
-        links, nodes, paths = simplified(links, nodes, tip_nodes, tip_length, bubble_length, rounds)
+        links, nodes, paths = simplified(graph.both_sides(edges), nodes, tip_nodes, tip_length, bubble_length, rounds)
     else:
-        paths = written(graph.unitigs(links, nodes))
+        paths = written(graph.unitigs(edges, nodes))
     contigs = basespace.contigs(paths, basespace.node_sequences(nodes, reads, p.l)) if base_space else None
     return Assembly(nodes, edges, paths, contigs)
 

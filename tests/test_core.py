@@ -110,6 +110,19 @@ def test_counts_and_representatives(spark):
             assert got == want
 
 
+def test_common_windows_are_reduced_before_their_shuffle(spark):
+    df = lists_frame(spark, [[1, 2, 3, 4], [4, 3, 2, 1], [1, 2, 3, 9]] * 50)
+    batch = df.coalesce(1).toArrow().to_batches()[0]
+    got = kminmers._first_places(batch, 3, 2).to_pylist()
+    assert [(r["n"], r["read_id"], r["i"]) for r in got if (r["read_id"], r["i"]) in (("r000", 0), ("r001", 1))] == [(150, "r000", 0), (0, "r001", 1)]
+    assert sorted(r["n"] for r in got) == [0, 0, 0, 50, 100, 150]
+    # neither the shuffles' keys nor their rows hold the elements of windows
+    plan = kminmers.nodes(kminmers.lists_once(df), 3)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning(kmer" in x]
+    got = {tuple(r.kmer): (r.abundance, r.read_id, r.start, r.rev) for r in kminmers.nodes(kminmers.lists_once(df), 3).collect()}
+    assert got == {(1, 2, 3): (150, "r001", 7, True), (2, 3, 4): (100, "r001", 0, True), (2, 3, 9): (50, "r005", 7, False)}
+
+
 def test_shifts_follow_the_direction(spark):
     df = spark.createDataFrame([("a", [1, 2, 3, 4], [0, 5, 7, 20]), ("b", [4, 3, 2, 1], [0, 13, 15, 20])], "read_id string, minims array<bigint>, pos array<int>")
     got = {(r.read_id, r.i): (r.kmer, r.shift_l, r.shift_r, r.span) for r in kminmers.occurrences(df, 3).collect()}
