@@ -38,11 +38,31 @@ def contigs(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     whole = F.when(F.col("o") == "+", F.col("seq")).otherwise(reverse_complement("seq"))
     piece = F.when(F.col("ord") == 0, whole).otherwise(tail())
     rows = paths.join(nodes.select("node_id", "seq", "shift_l", "shift_r", "abundance"), "node_id").select("unitig", "ord", "abundance", piece.alias("piece"))
+    return _joined(rows)
+
+
+def _joined(rows: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("ord", "piece")))
     per = rows.groupBy("unitig").agg(parts.alias("parts"), F.count("*").alias("n_nodes"), F.avg("abundance").alias("mean_abundance"))
     return per.select(F.col("unitig").alias("name"), F.array_join(F.transform("parts", lambda x: x["piece"]), "").alias("seq"), "n_nodes", "mean_abundance")
 
 
+def contigs_from_reads(paths: DataFrame, nodes: DataFrame, reads: DataFrame, l: int) -> DataFrame:
+    """`contigs` of the nodes' `node_sequences`, where of each node only what its path needs is fetched from its read."""
+    forward, n = F.col("o") == "+", F.col("seqlen") - 2 + l
+    shift = F.when(forward, F.col("shift_r")).otherwise(F.col("shift_l"))
+    # a later node adds the end of its piece of the read where path and read have one direction, else its beginning turned round
+    first, along = F.col("ord") == 0, forward != F.col("rev")
+    size = F.when(first, n).otherwise(F.greatest(shift, F.lit(0)))
+    begin = F.when(first | ~along, F.col("start")).otherwise(F.col("start") + n - size)
+    wanted = paths.join(nodes.select("node_id", "seqlen", "shift_l", "shift_r", "abundance", "read_id", "start", "rev"), "node_id").select(
+        "unitig", "ord", "abundance", "read_id", (begin + 1).cast("int").alias("begin"), size.cast("int").alias("size"), "rev", "o")
+    piece = F.col("text").substr(F.col("begin"), F.col("size"))
+    own = F.when(F.col("rev"), reverse_complement(piece)).otherwise(piece)
+    rows = wanted.join(reads.select("read_id", clean_seq("seq").alias("text")), "read_id").select("unitig", "ord", "abundance", F.when(forward, own).otherwise(reverse_complement(own)).alias("piece"))
+    return _joined(rows)
+
+
 def unitig_minimizers(paths: DataFrame, nodes: DataFrame, min_abundance: int | None = None) -> DataFrame:
     """unitig, minims: the minimizers along each path; the first node gives all of its list, each later one its last element.
 

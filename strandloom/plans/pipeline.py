@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators import basespace, graph, kminmers, minspace
+from strandloom.operators import basespace, graph, junctions, kminmers, minspace
 from strandloom.params import Params, sample_lengths
 from strandloom.session import written
 
@@ -87,6 +87,24 @@ def simplified(links: DataFrame, nodes: DataFrame, tip_nodes: int, tip_length: i
     return links, nodes, mapped()
 
 
+def clean(found: junctions.Paths, tip_nodes: int, tip_length: int, bubble_length: int, rounds: int = 1) -> None:
+    """What `simplified` does, on paths of a graph whose links are not listed."""
+
+    def series(factors) -> None:
+        done = None
+        for factor in factors:
+            if factor != done:
+                done = None if found.clip(tip_nodes, factor[0] * tip_length, factor[1] * bubble_length) else factor
+
+    series(((1, 1),) * rounds)
+    found.unloop()
+    if found.bases() > LARGE:
+        series(MORE)
+        if found.bases() > HUGE:
+            found.unloop()
+            series(AGGRESSIVE)
+
+
 def assemble(reads: DataFrame, p: Params, tip_nodes: int = 10, tip_length: int = 0, bubble_length: int = 0, rounds: int = 1, weighted: bool = False, base_space: bool = True) -> Assembly:
     """Nodes, edges, maximal paths and contigs of reads (read_id, seq).
 
@@ -109,12 +127,14 @@ def assemble_lists(
     """`assemble` of reads (read_id, seq) whose lists (read_id, minims, pos) are given: a run that starts after the correction, with what
     `correct.corrected` returns or `formats.read_corrected` reads."""
     nodes = kminmers.checked_ids(written(kminmers.node_ids(kminmers.nodes(lists, p.k, p.min_abundance, p.strict))))
-    edges = written(graph.edges(nodes, p.k, p.presimp))
+    edges = graph.edges(nodes, p.k, p.presimp)  # listed only where they are asked for
+    found = junctions.Paths(nodes, p.k, p.presimp)
     if tip_length or bubble_length:
-        links, nodes, paths = simplified(graph.both_sides(edges), nodes, tip_nodes, tip_length, bubble_length, rounds)
-    else:
-        paths = written(graph.unitigs(edges, nodes))
-    contigs = basespace.contigs(paths, basespace.node_sequences(nodes, reads, p.l)) if base_space else None
+        clean(found, tip_nodes, tip_length, bubble_length, rounds)
+    paths = found.listed()
+    if tip_length or bubble_length:
+        nodes = nodes.join(paths.select("node_id"), "node_id", "left_semi")
+    contigs = basespace.contigs_from_reads(paths, nodes, reads, p.l) if base_space else None
     return Assembly(nodes, edges, paths, contigs)
 
 

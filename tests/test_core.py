@@ -10,10 +10,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom import consensus, kernels
+from strandloom import consensus, kernels, session
 from strandloom.functions import dna
 from strandloom.kernels import reverse_complement
-from strandloom.operators import analytics, basespace, correct, graph, kminmers, minspace
+from strandloom.operators import analytics, basespace, correct, graph, junctions, kminmers, minspace
 from strandloom.operators.balance import balanced_aggregate, balanced_join, pack, plan_placement
 from strandloom.params import Params, autodetect, sample_lengths
 from strandloom.plans import pipeline
@@ -623,3 +623,36 @@ def test_streaming_counts_equal_batch_counts(spark, tmp_path):
     q = stream_counts(stream, p).writeStream.outputMode("complete").format("memory").queryName("kmers").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("kmers")) == rows(stream_counts(frames[0].union(frames[1]).union(frames[2]), p))
+
+
+# -- the graph by its (k-1)-mers ----------------------------------------------------------------------------------------------
+
+def random_nodes(spark, seed, letters, texts, k=3):
+    """Nodes of random lists, a tandem repeat and a circle with a dead end."""
+    r = random.Random(seed)
+    lists = [[r.randrange(1, letters) for _ in range(r.randrange(5, 25))] for _ in range(texts)]
+    circle = [100, 104, 101, 109, 102, 107, 108]
+    lists += [circle + circle[:k - 1], circle[3:5] + [120, 121], [200, 201, 200, 201, 200], [210, 211, 212, 212, 211, 210]]
+    kmers = {min(tuple(x[i:i + k]), tuple(x[i:i + k])[::-1]) for x in lists for i in range(len(x) - k + 1)}
+    data = [(list(w), r.choice([2, 3, 9, 400]), r.randrange(30, 60), r.randrange(1, 9), r.randrange(1, 9), f"r{r.randrange(9)}") for w in sorted(kmers)]
+    return kminmers.node_ids(spark.createDataFrame(data, "kmer array<bigint>, abundance bigint, seqlen bigint, shift_l int, shift_r int, read_id string"))
+
+
+def test_paths_without_links_are_those_of_the_links(spark):
+    nodes = session.written(random_nodes(spark, 1, 7, 6))
+    links = session.written(graph.edges(nodes, 3, 0.01))
+    found = junctions.Paths(nodes, 3, 0.01)
+    assert rows(found.listed()) == rows(graph.unitigs(links, nodes))
+    pipeline.clean(found, 3, 150, 150, 3)
+    _, kept, paths = pipeline.simplified(graph.both_sides(links), nodes, 3, 150, 150, 3)
+    assert rows(found.listed()) == rows(paths) and found.where.count() == kept.count() < nodes.count()
+
+
+def test_a_common_end_of_many_nodes_lists_no_links(spark):
+    n = 400
+    data = [([x, 1, 1], 2, 40, 3, 3, "r") for x in range(10, 10 + n)] + [([1, 1, x], 2, 40, 3, 3, "r") for x in range(1000, 1000 + n)]
+    nodes = session.written(kminmers.node_ids(spark.createDataFrame(data, "kmer array<bigint>, abundance bigint, seqlen bigint, shift_l int, shift_r int, read_id string")))
+    found = junctions.Paths(nodes, 3, 0.01)
+    pipeline.clean(found, 0, 1, 1)
+    # (1, 1) is a palindrome, so all are linked to all and to themselves: only the links with themselves and double ones are listed
+    assert found.segs.count() == 2 * n and found.cuts.count() <= 2 * n
