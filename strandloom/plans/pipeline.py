@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators import basespace, graph, junctions, kminmers, minspace
+from strandloom.operators import sizes as numbers
 from strandloom.params import Params, sample_lengths
 from strandloom.session import written
 
@@ -30,6 +31,13 @@ def metrics(done: Assembly) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def sizes(reads: DataFrame, p: Params) -> DataFrame:
+    """name, value: `metrics` of the assembly of reads (read_id, seq) without cleaning and base space, of which nothing is listed."""
+    lists = kminmers.lists_once(minspace.minimizers(minspace.with_sequence(reads), p))
+    found = numbers.of_lists(lists, p.k, p.min_abundance, p.strict, p.presimp)
+    return reads.sparkSession.createDataFrame(list(found.items()), "name string, value bigint")
+
+
 #: Bases of the graph above which a further series of rounds follows, and above which an aggressive one does; for each round of a
 #: series the factors of tip_length and bubble_length.
 LARGE, HUGE = 1_000_000, 100_000_000

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandloom import consensus, kernels, session
 from strandloom.functions import dna
 from strandloom.kernels import reverse_complement
-from strandloom.operators import analytics, basespace, correct, graph, junctions, kminmers, minspace
+from strandloom.operators import analytics, basespace, correct, graph, junctions, kminmers, minspace, sizes
 from strandloom.operators.balance import balanced_aggregate, balanced_join, pack, plan_placement
 from strandloom.params import Params, autodetect, sample_lengths
 from strandloom.plans import pipeline
@@ -656,3 +656,31 @@ def test_a_common_end_of_many_nodes_lists_no_links(spark):
     pipeline.clean(found, 0, 1, 1)
     # (1, 1) is a palindrome, so all are linked to all and to themselves: only the links with themselves and double ones are listed
     assert found.segs.count() == 2 * n and found.cuts.count() <= 2 * n
+
+
+def numbered_lists(spark, lists):
+    data = [(f"r{i:05}", [int(x) for x in w], list(range(0, 10 * len(w), 10))) for i, w in enumerate(lists)]
+    return spark.createDataFrame(data, "read_id string, minims array<bigint>, pos array<int>")
+
+
+def test_sizes_without_links_are_those_of_the_links(spark, monkeypatch):
+    for seed, k, presimp in ((1, 3, 0.25), (2, 4, 0.01)):
+        r = random.Random(seed)
+        # a circle, tandem repeats, palindromes; some lists are far more common than others
+        texts = [[r.randrange(1, 5) for _ in range(r.randrange(k + 1, 14))] for _ in range(12)] + [[100, 101, 102, 103, 104] * 2, [110, 111] * 4, [120] * 7, [130, 131, 132, 131, 130, 133]]
+        lists = session.written(numbered_lists(spark, [x if r.random() < 0.5 else x[::-1] for x in texts for _ in range(r.choice([1, 2, 5, 250]))]))
+        nodes = session.written(kminmers.node_ids(kminmers.nodes(lists, k, 2)))
+        links = session.written(graph.edges(nodes, k, presimp))
+        assert links.count() < graph.edges(nodes, k).count()
+        true = {"nodes": nodes.count(), "edges": links.count(), "paths": graph.unitigs(links, nodes).select("unitig").distinct().count()}
+        assert sizes.of_lists(lists, k, 2, True, presimp) == true
+        with monkeypatch.context() as m:
+            m.setattr(sizes, "TOGETHER", 2)
+            assert sizes.of_lists(lists, k, 2, True, presimp) == true
+
+
+def test_sizes_of_a_common_end_list_no_links(spark):
+    n = 6_000
+    lists = numbered_lists(spark, [w for x in range(n) for w in [[10 + x, 1, 2], [1, 2, n + 10 + x]] * 2])
+    # 72 million links, which the assembly listed for their number
+    assert sizes.of_lists(lists, 3, 2, False, 0.01) == {"nodes": 2 * n, "edges": 2 * n * n, "paths": 2 * n}
