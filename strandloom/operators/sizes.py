@@ -49,7 +49,8 @@ def _mix(h: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _packed(columns: dict[str, np.ndarray], kinds: tuple) -> bytes:
-    return b"".join(np.ascontiguousarray(columns[c], dtype=kind).tobytes() for c, kind in kinds)
+    # byte by byte, so that bytes which are zero in most rows lie together and compress
+    return b"".join(np.ascontiguousarray(columns[c], dtype=kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for c, kind in kinds)
 
 
 def _unpacked(blobs: list[bytes], kinds: tuple) -> dict[str, np.ndarray]:
@@ -58,8 +59,9 @@ def _unpacked(blobs: list[bytes], kinds: tuple) -> dict[str, np.ndarray]:
     for blob in blobs:
         n, at = len(blob) // width, 0
         for c, kind in kinds:
-            out[c].append(np.frombuffer(blob, dtype=kind, count=n, offset=at))
-            at += n * np.dtype(kind).itemsize
+            size = np.dtype(kind).itemsize
+            out[c].append(np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8, count=n * size, offset=at).reshape(size, n).T).view(kind).reshape(-1))
+            at += n * size
     return {c: np.concatenate(x) if x else np.empty(0, dtype=kind) for (c, kind), x in zip(kinds, out.values())}
 
 

@@ -33,8 +33,7 @@ def metrics(done: Assembly) -> DataFrame:
 
 def sizes(reads: DataFrame, p: Params) -> DataFrame:
     """name, value: `metrics` of the assembly of reads (read_id, seq) without cleaning and base space, of which nothing is listed."""
-    lists = kminmers.lists_once(minspace.minimizers(minspace.with_sequence(reads), p))
-    found = numbers.of_lists(lists, p.k, p.min_abundance, p.strict, p.presimp)
+    found = numbers.of_lists(minspace.lists_of_reads(reads, p), p.k, p.min_abundance, p.strict, p.presimp)
     return reads.sparkSession.createDataFrame(list(found.items()), "name string, value bigint")
 
 

@@ -684,3 +684,15 @@ def test_sizes_of_a_common_end_list_no_links(spark):
     lists = numbered_lists(spark, [w for x in range(n) for w in [[10 + x, 1, 2], [1, 2, n + 10 + x]] * 2])
     # 72 million links, which the assembly listed for their number
     assert sizes.of_lists(lists, 3, 2, False, 0.01) == {"nodes": 2 * n, "edges": 2 * n * n, "paths": 2 * n}
+
+
+def test_lists_of_reads_count_each_read_once(spark, monkeypatch):
+    p = Params(k=3, l=8, density=0.3, hpc=False)
+    data = [(f"r{i}", dna_text(120, 900 + i)) for i in range(6)]
+    data += [data[1], data[1], data[4], ("r2", None), ("r3", "*"), ("r5", " "), (None, data[0][1]), ("none", None)]
+    frame = spark.createDataFrame(data, "read_id string, seq string")
+    true = rows(kminmers.lists_once(minspace.minimizers(minspace.with_sequence(frame), p)))
+    assert len(true) == 6 and rows(minspace.lists_of_reads(frame, p)) == true
+    monkeypatch.setattr(minspace, "FEW", 1)
+    assert rows(minspace.lists_of_reads(frame, p)) == true
+    assert rows(pipeline.sizes(frame, p)) == rows(pipeline.metrics(pipeline.assemble(frame, p, base_space=False)))
